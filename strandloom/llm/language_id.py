@@ -152,7 +152,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"))
     counts, n = document_frequencies(known, "text", features)
     idf = np.log((1.0 + n) / (1.0 + counts)) + 1.0
-    picked = known.orderBy("h", "lang").limit(sample).collect()
+    least = known.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone meet; then only the sample's texts move
+    picked = known.filter(F.col("h") <= least).orderBy("h", "lang").limit(sample).collect() if least is not None else []
     languages = sorted({r["lang"] for r in picked})
     rows = []
     for r in picked:

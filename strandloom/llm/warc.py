@@ -101,7 +101,9 @@ def write_archives(
     """Write the archives under `path`. The dictionary sees `sample_records` records' first `sample_bytes` characters."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("string")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(uri).cast("string").alias("uri"), body.alias("payload"))
-    sample = rows.select("page_id", "uri", F.substring("payload", 1, sample_bytes).alias("payload"), F.xxhash64("page_id", "uri").alias("h")).orderBy("h").limit(sample_records).collect()
+    hashed = rows.select("page_id", "uri", F.substring("payload", 1, sample_bytes).alias("payload"), F.xxhash64("page_id", "uri").alias("h"))
+    least = hashed.select("h").orderBy("h").limit(sample_records).agg(F.max("h")).first()[0]  # hashes alone meet; then only the sample's payloads move
+    sample = hashed.filter(F.col("h") <= least).orderBy("h").limit(sample_records).collect() if least is not None else []
     trained = train_dictionary([record(r["page_id"], r["uri"], (r["payload"] or "").encode(), None, date) for r in sample], dictionary_bytes)
 
     keyed = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("large", F.octet_length("payload") >= min_bytes)
