@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_SCRATCH = "/tmp/checkpoints"
+ARROW_ROWS = 2000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,7 +31,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a compressed table to the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, min(int(before), ARROW_ROWS))  # long texts: what a Python worker holds at a time stays small
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

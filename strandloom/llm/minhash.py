@@ -8,9 +8,10 @@ those of full MinHash, and a document with many shingles needs only a round or t
 
 Documents with equal sets form a class; only classes go on. Bands of `rows` coordinates put classes in buckets (with
 128 coordinates in bands of 4 a pair at similarity 0.8 is missed with probability 5e-8). In each bucket the
-class that collides most becomes its centre, and members are compared with it on full sets; classes that a bucket
-still holds in different components are then all compared. No bucket is expanded into all its pairs, and no cap
-drops any.
+class that collides most becomes its centre, and members are compared with it on full sets. Classes that a bucket
+still holds in different components are then joined by their rarest shingles: as many of each set, in one order of all
+shingles, that two similar sets can't do without a common one. What is joined, and by sizes and places can still be
+similar, is compared on full sets, unless the two are in one component already. No bucket is expanded into all its pairs, and no cap drops any.
 
 Defined results: null, empty and blank texts have no shingle and are linked with nothing (component_id is their own
 id); a text with fewer words than a shingle is one shingle, its whole sequence; rows that repeat a doc_id share the
@@ -33,6 +34,7 @@ from .common import as_bytes, materialise, small_batches, words_of
 from .graph import components
 
 COORDINATES, ROWS = 128, 4
+COUNTERS = 1 << 21
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -151,6 +153,52 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def item_counts(sets: DataFrame, size: int = COUNTERS) -> np.ndarray:
+    """How often items occur in all sets, in `size` hashed counters. Each task sums its own; segments of the sums meet by number."""
+    step = size // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for items in batch.column(0):
+                np.add.at(total, (np.frombuffer(items.as_buffer(), np.uint64) % np.uint64(size)).astype(np.int64), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([total[k * step : (k + 1) * step].tobytes() for k in range(64)], pa.binary())], names=["segment", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("part").to_pylist())
+        return pa.table({"segment": table.column("segment").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+    rows = sets.select("items").mapInArrow(run, "segment int, part binary").groupBy("segment").applyInArrow(add, "segment int, part binary").collect()
+    out = np.zeros(size, np.int64)
+    for r in rows:  # 64
+        out[r["segment"] * step : (r["segment"] + 1) * step] = np.frombuffer(r["part"], np.int64)
+    return out
+
+
+def rare_items(sets: DataFrame, percent: int) -> DataFrame:
+    """cid, n, pos, item: of each set the n - ceil(percent n / 100) + 1 items that come first in one order of all items,
+    rare ones first. Two sets with a similarity of `percent` or more have one of these in common, whatever the order."""
+    shared = sets.sparkSession.sparkContext.broadcast(item_counts(sets).astype(np.int32))  # its size is COUNTERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            cids, sizes, places, found = [], [], [], []
+            for cid, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(items.as_buffer(), np.uint64)
+                keep = len(own) - -(-percent * len(own) // 100) + 1
+                order = np.lexsort((own, counts[(own % np.uint64(len(counts))).astype(np.int64)]))[:keep]
+                found.append(own[order].view(np.int64))
+                cids.append(np.full(len(order), cid, np.int64))
+                sizes.append(np.full(len(order), len(own), np.int64))
+                places.append(np.arange(len(order)))
+            if cids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cids, sizes, places, found)], names=["cid", "n", "pos", "item"])
+
+    return sets.select("cid", "items").mapInArrow(run, "cid long, n long, pos long, item long")
+
+
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -177,9 +225,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     placed = buckets.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("bucket", "cid", "n", F.coalesce("root", "cid").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    apart = materialise(placed.join(split, "bucket"), "apart")
-    one, two = (apart.select("bucket", *[F.col(c).alias(c + k) for c in ("cid", "n", "root")]) for k in ("_1", "_2"))
-    rest = one.join(two, "bucket").filter((F.col("root_1") < F.col("root_2")) & near(F.col("n_1"), F.col("n_2")))
+    apart = placed.join(split, "bucket").select("cid", "root").distinct()
+    rare = rare_items(sets, percent).join(apart, "cid")
+    one, two = (rare.select("item", *[F.col(c).alias(c + k) for c in ("cid", "n", "pos", "root")]) for k in ("_1", "_2"))
+    # At the first item that two sets share, what follows in either must still make up the intersection that they need.
+    enough = (100 + percent) * F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2")) >= percent * (F.col("n_1") + F.col("n_2"))
+    rest = one.join(two, "item").filter((F.col("root_1") < F.col("root_2")) & near(F.col("n_1"), F.col("n_2")) & enough)
     rest = _ordered(rest, "cid_1", "cid_2").join(stars, ["a", "b"], "left_anti")
     more = materialise(verified(rest, sets, percent), "verified")
     if more.limit(1).count():
@@ -202,6 +253,8 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **h
     Components whose ids are all null keep one row for each text."""
     groups = near_duplicates(docs, text=text, doc_id=doc_id, **how)
     stay = groups.filter("kept or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_stay")).distinct()
-    own = F.col(doc_id).cast("long")
-    rows = docs.join(stay, own.eqNullSafe(F.col("_stay")), "left_semi")
-    return rows.withColumn("_key", F.xxhash64(text)).dropDuplicates([doc_id, "_key"]).drop("_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = F.col("row").getField(doc_id)
+    rows = rows.join(stay, own.cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    keyed = rows.select("row", own.alias("id"), F.xxhash64(F.col("row").getField(text)).alias("key"))
+    return keyed.dropDuplicates(["id", "key"]).select("row.*")
