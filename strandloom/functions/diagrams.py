@@ -14,6 +14,11 @@ LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
 TOP_LABEL, BOTTOM_LABEL, TAB = "SEQ", "STR", 8
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalise_top(row) -> Column:
     """Up to the last letter spaces are gaps; after it gaps are spaces; without a letter spaces are gaps."""
     row = _col(row)
@@ -44,37 +49,44 @@ def _tabs_expanded(body: Column) -> Column:
     return F.aggregate(F.slice(pieces, 2, F.size(pieces)), pieces[0], lambda acc, piece: F.concat(acc, pad(acc), piece))
 
 
-def _strands(diagram: Column) -> tuple[Column, Column]:
-    """Both strands without the columns that neither has, as arrays of characters."""
-    lines = F.split(diagram, LINE_ENDS, -1)
-    bodies = lambda label: F.transform(F.filter(lines, lambda x: x.startswith(label)), lambda x: _tabs_expanded(F.substring(x, F.lit(4), F.length(x))))
-    top, bottom = bodies(TOP_LABEL), bodies(BOTTOM_LABEL)
-    width = F.coalesce(F.array_max(F.transform(F.concat(top, bottom), lambda x: F.length(x))), F.lit(0))
-    blank = F.array_repeat(F.lit(" "), width)
+def _strands(diagram: Column) -> Column:
+    """struct<a, b>: both strands without the columns that neither has."""
+    bodies = lambda lines, label: F.transform(F.filter(lines, lambda x: x.startswith(label)), lambda x: _tabs_expanded(F.substring(x, F.lit(4), F.length(x))))
 
-    def overlaid(rows: Column) -> Column:  # the first row that isn't blank in a column wins
+    def overlaid(rows: Column, width: Column) -> Column:  # the first row that isn't blank in a column wins
+        blank = F.array_repeat(F.lit(" "), width)
         return F.aggregate(rows, blank, lambda acc, row: F.zip_with(acc, chars(F.rpad(row, width, F.lit(" "))), lambda a, b: F.when(a == " ", b).otherwise(a)))
 
-    both = F.filter(F.arrays_zip(overlaid(top).alias("a"), overlaid(bottom).alias("b")), lambda z: (z["a"] != " ") | (z["b"] != " "))
-    return F.transform(both, lambda z: z["a"]), F.transform(both, lambda z: z["b"])
+    def combined(x: Column) -> Column:
+        both = F.filter(F.arrays_zip(overlaid(x["top"], x["width"]).alias("a"), overlaid(x["bottom"], x["width"]).alias("b")), lambda z: (z["a"] != " ") | (z["b"] != " "))
+        return bound(both, lambda kept: F.struct(F.array_join(F.transform(kept, lambda z: z["a"]), "").alias("a"), F.array_join(F.transform(kept, lambda z: z["b"]), "").alias("b")))
+
+    def sized(x: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(F.concat(x["top"], x["bottom"]), lambda y: F.length(y))), F.lit(0))
+        return F.struct(x["top"].alias("top"), x["bottom"].alias("bottom"), width.alias("width"))
+
+    rows = bound(F.split(diagram, LINE_ENDS, -1), lambda lines: F.struct(bodies(lines, TOP_LABEL).alias("top"), bodies(lines, BOTTOM_LABEL).alias("bottom")))
+    return bound(bound(rows, sized), combined)
+
 
+def _normalised(diagram) -> Column:
+    """struct<some, top, bottom>."""
+    def rows(strands: Column) -> Column:
+        return F.struct((F.length(strands["a"]) > 0).alias("some"), normalise_top(strands["a"]).alias("top"), normalise_bottom(strands["b"]).alias("bottom"))
 
-def _primer3_rows(diagram) -> tuple[Column, Column, Column]:
-    top, bottom = _strands(_col(diagram))
-    return F.size(top) > 0, normalise_top(F.array_join(top, "")), normalise_bottom(F.array_join(bottom, ""))
+    return bound(_strands(_col(diagram)), rows)
 
 
 def parse_primer3(diagram, line_width: int | None = LINE_WIDTH) -> Column:
     """A diagram of SEQ and STR lines as top strand, bonds and bottom strand."""
-    some, top, bottom = _primer3_rows(diagram)
-    return F.when(_col(diagram).isNotNull(), F.when(some, wrapped([top, bond_line(top, bottom), bottom], line_width)).otherwise(NOTHING))
+    shown = lambda r: F.when(r["some"], bound(F.struct(r["top"].alias("a"), bond_line(r["top"], r["bottom"]).alias("m"), r["bottom"].alias("b")), lambda z: wrapped([z["a"], z["m"], z["b"]], line_width))).otherwise(NOTHING)
+    return F.when(_col(diagram).isNotNull(), bound(_normalised(diagram), shown))
 
 
 def has_internal_gap(diagram) -> Column:
     """Whether either strand has a gap between its first and last letter, at any width."""
-    _, top, bottom = _primer3_rows(diagram)
     inside = r"(?s)\p{L}.*-.*\p{L}"
-    return top.rlike(inside) | bottom.rlike(inside)
+    return bound(_normalised(diagram), lambda r: r["top"].rlike(inside) | r["bottom"].rlike(inside))
 
 
 def parse_idt(primer1, primer2, response, line_width: int | None = LINE_WIDTH) -> Column:

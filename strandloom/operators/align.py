@@ -6,10 +6,12 @@ needs neither pointers nor strings.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batch
 from ..functions.batch import align_columns
 from ..functions.config import DIMER3_FREE, DIMER_FREE, AlignConfig
 from ..functions.dna import _col, complement, reverse_complement
@@ -68,6 +70,36 @@ def nw3_align(seq1, seq2, seq3, config: AlignConfig | None = None) -> Column:
     return align(_col(seq1), _col(seq2), _col(seq3))
 
 
+def align_by(configs: list[AlignConfig], which, *seqs) -> Column:
+    """The alignment of each row under configs[which]: a grid of settings in one function, rows of one setting together."""
+    two = len(seqs) == 2
+
+    def align(number: pa.Array, *columns: pa.Array) -> pa.Array:
+        number = number.to_numpy(zero_copy_only=False)
+        order = np.argsort(number, kind="stable")
+        parts = []
+        for rows in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+            if len(rows):
+                parts.append(align_columns([c.take(pa.array(rows)) for c in columns], configs[number[rows[0]]], traceback=True))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays(parts).take(pa.array(back)) if parts else pa.array([], batch.ALIGNED_2D if two else batch.ALIGNED_3D)
+
+    if two:
+
+        @F.arrow_udf(ALIGNED_2D)
+        def run(number: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+            return align(number, a, b)
+
+    else:
+
+        @F.arrow_udf(ALIGNED_3D)
+        def run(number: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+            return align(number, a, b, c)
+
+    return run(_col(which), *map(_col, seqs))
+
+
 def dimer_score(primer1, primer2, config: AlignConfig | None = None) -> Column:
     """The score of predict_dimer."""
     return nw_score(primer1, reverse_complement(primer2), (config or AlignConfig()).but(free=DIMER_FREE, gap_close=True))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import COMP_SYMMETRIC, INVERSE_DISTANCE, NON_COMP_SYMMETRIC, AlignConfig, ScoreMatrix, flag_string
 from ..functions.dna import SYMMETRIES_2D, SYMMETRIES_3D, dimer_swapped, expected_invariance, restored, transformed
-from ..operators.align import nw3_align, nw_align, nw_score
+from ..operators.align import align_by, nw3_align, nw_align, nw_score
 from ..operators.rescore import score_alignment, score_alignment_3d
 
 TOLERANCE = 1e-9
@@ -31,10 +31,6 @@ class Condition:
     def config(self, matrices: dict[str, ScoreMatrix], gap_open: float = -5.0, gap_extend: float = -1.0) -> AlignConfig:
         return AlignConfig(matrices[self.matrix], gap_open if self.affine else gap_extend, gap_extend, self.close, self.free, INVERSE_DISTANCE if self.scaled else None)
 
-    def columns(self) -> list[Column]:
-        pairs = {"matrix": self.matrix, "scaled": int(self.scaled), "affine_gap": int(self.affine), "gap_close_penalty": int(self.close), "flags": flag_string(self.free)}
-        return [F.lit(v).alias(k) for k, v in pairs.items() if k != "scaled" or len(self.free) == 4]
-
 
 def grid(sequences: int = 2, matrices: Iterable[str] = tuple(MATRICES), flags: Iterable[tuple[bool, ...]] | None = None) -> list[Condition]:
     """All conditions: 2 matrices x scaled or not (two sequences only) x gap kinds x close or not x all free-end flags."""
@@ -50,36 +46,45 @@ def close_to(x: Column, y: Column) -> Column:
 def symmetry_cases(cases: DataFrame, conditions: Sequence[Condition], matrices: dict[str, ScoreMatrix] | None = None, symmetries: Sequence[str] | None = None) -> DataFrame:
     """A row for each condition, symmetry and case (pair_id, seq1, seq2[, seq3]): score_ok, alignment_ok, and both scores.
 
-    The base problem is aligned once a condition, whatever the number of symmetries."""
+    The grid is a small table that goes to the cases; the base problem is aligned once a condition, whatever the number
+    of symmetries, and each batch aligns its rows of one setting together."""
     matrices = matrices or MATRICES
     sequences = len(conditions[0].free) // 2
     symmetries = symmetries or (SYMMETRIES_2D if sequences == 2 else SYMMETRIES_3D)
-    align = nw_align if sequences == 2 else nw3_align
     names = [f"seq{k + 1}" for k in range(sequences)]
-    parts = []
+    configs: list[AlignConfig] = []
+    rows = []
     for condition in conditions:
-        config = condition.config(matrices)
-        base = cases.select("pair_id", *names, align(*names, config).alias("base"))
+        base = condition.config(matrices)
+        first = len(configs)
+        configs.append(base)
         moved = []
         for symmetry in symmetries:
-            seqs, changed = transformed(symmetry, names, config)
-            found = align(*seqs, changed)
-            moved.append(F.struct(F.lit(symmetry).alias("symmetry"), found.alias("found")))
-        rows = base.select("pair_id", "base", F.explode(F.array(*moved)).alias("m")).select("pair_id", "base", "m.*")
-        back = None
+            configs.append(transformed(symmetry, names, base)[1])
+            moved.append((symmetry, len(configs) - 1))
+        rows.append((condition.matrix, int(condition.scaled), int(condition.affine), int(condition.close), flag_string(condition.free), first, moved, matrices[condition.matrix].transpose_symmetric(), matrices[condition.matrix].complement_symmetric()))
+    spark = cases.sparkSession
+    table = spark.createDataFrame(rows, "matrix string, scaled int, affine_gap int, gap_close_penalty int, flags string, base_no int, moved array<struct<symmetry:string,no:int>>, by_transpose boolean, by_complement boolean")
+    spread = cases.repartition(spark.sparkContext.defaultParallelism, "pair_id")
+    base = spread.crossJoin(F.broadcast(table)).withColumn("base", align_by(configs, "base_no", *names))
+    each = base.withColumn("m", F.explode("moved")).withColumns({"symmetry": F.col("m.symmetry"), "no": F.col("m.no")})
+    for k in range(sequences):
+        choice = None
         for symmetry in symmetries:
-            strings = restored(symmetry, [F.col("found")[f"aligned{k + 1}"] for k in range(sequences)])
-            same = F.lit(True)
-            for k, s in enumerate(strings):
-                same = same & (s == F.col("base")[f"aligned{k + 1}"])
-            back = F.when(F.col("symmetry") == symmetry, same) if back is None else back.when(F.col("symmetry") == symmetry, same)
-        m = matrices[condition.matrix]
-        expected = expected_invariance("symmetry", F.lit(m.transpose_symmetric()), F.lit(m.complement_symmetric()), sequences)
-        parts.append(rows.select(*condition.columns(), "symmetry", "pair_id", F.col("base")["score"].alias("base_score"), F.col("found")["score"].alias("moved_score"), close_to(F.col("base")["score"], F.col("found")["score"]).alias("score_ok"), back.alias("alignment_ok"), expected.alias("expected_score_invariant")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            value = transformed(symmetry, names, configs[0])[0][k]
+            choice = F.when(F.col("symmetry") == symmetry, value) if choice is None else choice.when(F.col("symmetry") == symmetry, value)
+        each = each.withColumn(f"moved{k + 1}", choice)
+    found = each.withColumn("found", align_by(configs, "no", *[f"moved{k + 1}" for k in range(sequences)]))
+    back = None
+    for symmetry in symmetries:
+        same = F.lit(True)
+        for k, s in enumerate(restored(symmetry, [F.col("found")[f"aligned{k + 1}"] for k in range(sequences)])):
+            same = same & (s == F.col("base")[f"aligned{k + 1}"])
+        back = F.when(F.col("symmetry") == symmetry, same) if back is None else back.when(F.col("symmetry") == symmetry, same)
+    keys = ["matrix", "scaled", "affine_gap", "gap_close_penalty", "flags"] if sequences == 2 else ["matrix", "affine_gap", "gap_close_penalty", "flags"]
+    expected = expected_invariance("symmetry", F.col("by_transpose"), F.col("by_complement"), sequences)
+    one, two = F.col("base")["score"], F.col("found")["score"]
+    return found.select(*keys, "symmetry", "pair_id", one.alias("base_score"), two.alias("moved_score"), close_to(one, two).alias("score_ok"), back.alias("alignment_ok"), expected.alias("expected_score_invariant"))
 
 
 def condition_rows(cases: DataFrame, total: str = "pairs_total") -> DataFrame:
