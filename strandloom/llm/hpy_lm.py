@@ -12,9 +12,10 @@ Draws are hashes of the dish, so that any task can repeat them. Predictive proba
 after `burn_in`.
 
 What is counted grows with the corpus and stays distributed: texts become arrays of numbers within *chunks* (a few
-million tokens of one task); the contexts of each chunk's distinct words are counted and merged over chunks, in two
-steps where there are very many; each distinct word is seated and scored once; and chunks get the scores that they
-asked for. The driver sees table totals by context, 66,307 numbers a sweep at any size, and counts of counts.
+million tokens of one task); the contexts of each chunk's distinct words are counted there, so that even the commonest
+word leaves a chunk as one entry; words are dealt into buckets (their number follows the corpus), in which counts of all
+chunks are merged, words seated and scored; and chunks get the scores that they asked for. The driver sees table
+totals by context, 66,564 numbers a sweep at any size, and counts of counts.
 
 Defined results: null and empty texts are the end alone; null ids fall into the training part or not by the crc of
 the empty text; repeated rows are counted and scored one by one; with no training text all counts are 0, the base
@@ -37,10 +38,11 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bucket_of, materialise, small_batches, words_of
 
 SIDE = 257  # a byte or none
-PAIRS = SIDE * SIDE
+FIRST = 129  # the lower seven bits of a byte, or none
+PAIRS = FIRST * SIDE  # a context: of the last two bytes, the first without its top bit; fits 16 bits
 START = PAIRS - 1  # before the first word
-CHUNK_TOKENS, CHUNK_WORDS = 3_000_000, 500_000
-MERGED_AT_ONCE = 2048
+CHUNK_TOKENS, CHUNK_WORDS = 4_500_000, 600_000
+BUCKET_BYTES = 24_000_000  # of text for each bucket of words
 
 
 def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
@@ -167,19 +169,26 @@ class Dishes:
         return np.log10(np.maximum(np.mean(p2, axis=0), 1e-300)), np.array(p1), np.array(p0), kept
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Which row each list entry is of, and the entries."""
-    lengths = np.diff(column.offsets.to_numpy())
-    return np.repeat(np.arange(len(column)), lengths), column.flatten()
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    return values.astype(kind).tobytes()
 
 
-ENTRY = pa.list_(pa.struct([("u", pa.int32()), ("n", pa.int32())]))
+def _words(blob: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths)
+    return [blob[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, held_out, text) → rows of kind 0 (a text's numbers: which of the chunk's (word, context) pairs each
-    token is) and kind 1 (a word of the chunk: its first pair's number, and contexts with training counts, in order)."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("numbers", pa.binary()), ("word", pa.binary()), ("first", pa.int32()), ("entries", ENTRY)])
+ROWS = "kind int, chunk long, doc_id long, held_out boolean, numbers binary, bucket int, words binary, lengths binary, first binary, sizes binary, u binary, n binary"
+
+
+def chunked(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (doc_id, held_out, text) → rows of kind 0, a text's numbers: which of the chunk's (word, context) pairs each
+    token is; and rows of kind 1, the chunk's words of one bucket, packed: words, each one's first pair number, its
+    number of contexts, contexts and their training counts."""
+    schema = pa.schema(
+        [("kind", pa.int32()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("numbers", pa.binary()), ("bucket", pa.int32())]
+        + [(c, pa.binary()) for c in ("words", "lengths", "first", "sizes", "u", "n")]
+    )
 
     class Numbers(dict):
         def __missing__(self, word: bytes) -> int:
@@ -187,30 +196,36 @@ def chunked(docs: DataFrame) -> DataFrame:
             return number
 
     def settle(chunk: int, words: list[bytes], texts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        suffix = np.fromiter(((w[-2] if len(w) > 1 else 256) * SIDE + (w[-1] if w else 256) for w in words), np.int64, len(words))
+        suffix = np.fromiter(((w[-2] & 127 if len(w) > 1 else 128) * SIDE + (w[-1] if w else 256) for w in words), np.int64, len(words))
         tokens = np.concatenate([t[2] for t in texts])
         lengths = np.fromiter((len(t[2]) for t in texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
-        before = np.empty(len(tokens), np.int64)
-        before[1:] = suffix[tokens[:-1]]
-        before[ends - lengths] = START
-        pairs, back = np.unique(tokens.astype(np.int64) * PAIRS + before, return_inverse=True)
+        code = tokens.astype(np.int64) * PAIRS
+        code[1:] += suffix[tokens[:-1]]
+        code[ends - lengths] = tokens[ends - lengths].astype(np.int64) * PAIRS + START
+        pairs, back = np.unique(code, return_inverse=True)
         back = back.astype(np.int32)
         train = np.repeat(np.fromiter((not t[1] for t in texts), bool, len(texts)), lengths)
-        counts = np.bincount(back[train], minlength=len(pairs)).astype(np.int32)
+        counts = np.bincount(back[train], minlength=len(pairs))
+        del code, tokens, train
         for at in range(0, len(texts), 256):
             part = texts[at : at + 256]
             m = len(part)
             numbers = [back[e - n : e].tobytes() for e, n in zip(ends[at : at + m].tolist(), lengths[at : at + m].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array([t[0] for t in part], pa.int64()), pa.array([t[1] for t in part], pa.bool_()), pa.array(numbers, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, ENTRY)], schema=schema)
-        firsts = np.searchsorted(pairs, np.arange(len(words) + 1) * PAIRS).astype(np.int32)
-        contexts = (pairs % PAIRS).astype(np.int32)
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            m = len(part)
-            a, b = firsts[at], firsts[at + m]
-            lists = pa.ListArray.from_arrays(pa.array(firsts[at : at + m + 1] - a), pa.StructArray.from_arrays([pa.array(contexts[a:b]), pa.array(counts[a:b])], names=["u", "n"]))
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.array(part, pa.binary()), pa.array(firsts[at : at + m]), lists.cast(ENTRY)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array([t[0] for t in part], pa.int64()), pa.array([t[1] for t in part], pa.bool_()), pa.array(numbers, pa.binary()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.binary()) for _ in range(6))], schema=schema)
+        firsts = np.searchsorted(pairs, np.arange(len(words) + 1) * PAIRS)
+        sizes, contexts = np.diff(firsts), pairs % PAIRS
+        bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for k in range(buckets):
+            own = order[cuts[k] : cuts[k + 1]]
+            if not len(own):
+                continue
+            named = [words[i] for i in own.tolist()]
+            entry = np.repeat(firsts[own], sizes[own]) + np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+            packed = [b"".join(named), _pack(np.fromiter(map(len, named), np.int64, len(named)), "<u4"), _pack(firsts[own], "<i4"), _pack(sizes[own], "<u2"), _pack(contexts[entry], "<u2"), _pack(counts[entry], "<i4")]
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([chunk], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -229,57 +244,60 @@ def chunked(docs: DataFrame) -> DataFrame:
         if texts:
             yield from settle(chunk, list(numbers), texts)
 
-    return docs.mapInArrow(run, "kind int, chunk long, doc_id long, held_out boolean, numbers binary, word binary, first int, entries array<struct<u:int,n:int>>")
+    return docs.mapInArrow(run, ROWS)
 
 
-MERGED = "word binary, c long, entries array<struct<u:int,n:int>>"
+def _unpack(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, numbers of contexts, contexts, counts."""
+    return (
+        _words(row["words"], np.frombuffer(row["lengths"], "<u4").astype(np.int64)),
+        np.frombuffer(row["sizes"], "<u2").astype(np.int64),
+        np.frombuffer(row["u"], "<u2").astype(np.int64),
+        np.frombuffer(row["n"], "<i4").astype(np.int64),
+    )
 
 
-def _merge(grouped: DataFrame) -> DataFrame:
-    """word, entries (concatenated lists) → word, c, entries with each context once; contexts without training count go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_batches(batch, 20_000):
-                row, flat = _flat(part.column(1))
-                code = row * PAIRS + flat.field("u").to_numpy()
-                n = flat.field("n").to_numpy()
-                code, n = code[n > 0], n[n > 0]
-                pairs, back = np.unique(code, return_inverse=True)
-                total = np.bincount(back, weights=n, minlength=len(pairs)).astype(np.int64)
-                words = pairs // PAIRS
-                offsets = np.searchsorted(words, np.arange(part.num_rows + 1)).astype(np.int32)
-                c = np.bincount(words, weights=total, minlength=part.num_rows).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array((pairs % PAIRS).astype(np.int32)), pa.array(np.minimum(total, 2**31 - 1).astype(np.int32))], names=["u", "n"]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c), lists.cast(ENTRY)], names=["word", "c", "entries"])
-
-    return grouped.select("word", "entries").mapInArrow(run, MERGED)
+VOCABULARY = "bucket int, tokens long, distinct long, once long, twice long, words binary, lengths binary, sizes binary, u binary, n binary"
 
 
 def vocabulary_of(asked: DataFrame) -> DataFrame:
-    """All words of all chunks with their training counts by context. A word meets at most MERGED_AT_ONCE chunks' lists at a time."""
-    chunks = asked.select("chunk").distinct().count()
-    groups = -(-chunks // MERGED_AT_ONCE)
-    joined = F.flatten(F.collect_list("entries")).alias("entries")
-    if groups > 1:
-        some = _merge(asked.withColumn("g", F.pmod(F.xxhash64("chunk"), F.lit(groups))).groupBy("word", "g").agg(joined))
-        return _merge(some.groupBy("word").agg(joined))
-    return _merge(asked.groupBy("word").agg(joined))
-
-
-def dishes_of(part: pa.RecordBatch) -> Dishes:
-    """Of a batch with columns word and entries."""
-    row, flat = _flat(part.column("entries"))
-    names = part.column("word").to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-    return Dishes(hashes, row, flat.field("u").to_numpy().astype(np.int64), flat.field("n").to_numpy())
+    """A row for each bucket: its words with a training count, packed, contexts merged over chunks; and counts of counts."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        index: dict[bytes, int] = {}
+        keys, values = [], []
+        for row in table.select(["words", "lengths", "sizes", "u", "n"]).to_pylist():
+            words, sizes, u, n = _unpack(row)
+            number = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+            keys.append((np.repeat(number, sizes) * PAIRS + u)[n > 0])
+            values.append(n[n > 0])
+        pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate(values), minlength=len(pairs)).astype(np.int64)
+        owner = pairs // PAIRS
+        known, number = np.unique(owner, return_inverse=True)
+        names = list(index)
+        words = [names[i] for i in known.tolist()]
+        c = np.bincount(number, weights=total, minlength=len(known)).astype(np.int64)
+        out = {
+            "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
+            **{k: pa.array([int(v)], pa.int64()) for k, v in (("tokens", c.sum()), ("distinct", len(c)), ("once", (c == 1).sum()), ("twice", (c == 2).sum()))},
+            **{k: pa.array([v], pa.binary()) for k, v in (("words", b"".join(words)), ("lengths", _pack(np.fromiter(map(len, words), np.int64, len(words)), "<u4")), ("sizes", _pack(np.bincount(number, minlength=len(known)), "<u2")), ("u", _pack(pairs % PAIRS, "<u2")), ("n", _pack(total, "<i4")))},
+        }
+        return pa.table(out)
+
+    return asked.select("bucket", "words", "lengths", "sizes", "u", "n").groupBy("bucket").applyInArrow(merge, VOCABULARY)
+
+
+def dishes_of(row: dict) -> tuple[list[bytes], Dishes]:
+    words, sizes, u, n = _unpack(row)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return words, Dishes(hashes, np.repeat(np.arange(len(words)), sizes), u, n)
 
 
 def fit(vocabulary: DataFrame, *, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0) -> Model:
     """Each sweep is a pass over the training vocabulary that returns tables by restaurant."""
-    known = vocabulary.filter("c > 0")
-    totals = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    tokens, words = int(totals["n"] or 0), int(totals["v"])
+    totals = vocabulary.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "once", "twice")]).first()
+    tokens, words = int(totals["tokens"]), int(totals["distinct"])
     discount = min(0.9, max(0.1, totals["once"] / max(1, totals["once"] + 2 * totals["twice"])))
     nothing = np.zeros(PAIRS)
     model = Model(tokens, words, (discount, discount, discount), strength, 0.9 if words else 1.0, nothing, (), burn_in)
@@ -287,15 +305,14 @@ def fit(vocabulary: DataFrame, *, sweeps: int = 3, burn_in: int = 1, strength: f
     if not words:
         return Model(tokens, words, model.discounts, strength, 1.0, nothing, (Totals(nothing, np.zeros(SIDE), 0),), burn_in)
     for s in range(sweeps + 1):
-        shared = spark.sparkContext.broadcast(model)  # a few arrays of 66,049 numbers
+        shared = spark.sparkContext.broadcast(model)  # a few arrays of 33,153 numbers
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            size = 2 * PAIRS + SIDE + 1  # customers and tables by two bytes, tables by one, tables of the root
-            total = np.zeros(size)
+            total = np.zeros(2 * PAIRS + SIDE + 1)  # customers and tables by two bytes, tables by one, tables of the root
             for batch in batches:
-                for part in small_batches(batch, 20_000):
-                    dishes = dishes_of(part)
+                for row in batch.to_pylist():
+                    _, dishes = dishes_of(row)
                     *_, (_, (two, one, root)) = dishes.states(own, s)
                     total[:PAIRS] += np.bincount(dishes.context, weights=dishes.count, minlength=PAIRS)
                     total[PAIRS : 2 * PAIRS] += np.bincount(dishes.context, weights=two, minlength=PAIRS)
@@ -304,7 +321,7 @@ def fit(vocabulary: DataFrame, *, sweeps: int = 3, burn_in: int = 1, strength: f
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
 
-        rows = known.select("word", "entries").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        rows = vocabulary.select("words", "lengths", "sizes", "u", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         total = np.zeros(2 * PAIRS + SIDE + 1)
         total[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
         now = Totals(total[PAIRS : 2 * PAIRS], total[2 * PAIRS : 2 * PAIRS + SIDE], int(total[-1]))
@@ -313,77 +330,72 @@ def fit(vocabulary: DataFrame, *, sweeps: int = 3, burn_in: int = 1, strength: f
 
 
 def answer(asked: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
-    """of (the chunk), first, c, p: for each word of each chunk, log10 probabilities in the contexts asked for."""
-    spark = asked.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    floats = pa.list_(pa.float64())
+    """of (the chunk), first, sizes, c, p: for the words of one bucket that a chunk asked for, packed."""
+    shared = asked.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_batches(batch, 20_000):
-                dishes = dishes_of(part)
-                p2, p1, p0, _ = dishes.log10(shared.value)
-                lists = lambda flat, word, width=1: pa.ListArray.from_arrays(pa.array(np.searchsorted(word, np.arange(dishes.n + 1)).astype(np.int32) * np.int32(width)), pa.array(flat))  # noqa: B023,E731
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("word"), part.column("c"), lists(dishes.context.astype(np.int32), dishes.word), lists(p2, dishes.word), lists(dishes.pair_context.astype(np.int32), dishes.pair_word), lists(p1.T.ravel(), dishes.pair_word, len(p1)), lists(p0.T.ravel(), np.repeat(np.arange(dishes.n), 1), len(p0))],
-                    names=["word", "c", "u2", "p2", "u1", "p1", "p0"],
-                )
-
-    judged = vocabulary.select("word", "c", "entries").mapInArrow(judge, "word binary, c long, u2 array<int>, p2 array<double>, u1 array<int>, p1 array<double>, p0 array<double>")
-    joined = asked.select(F.col("chunk").alias("of"), "first", F.transform("entries", lambda e: e["u"]).alias("u"), "word").join(judged, "word").drop("word")
-
-    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reply(asks: pa.Table, known: pa.Table) -> pa.Table:
         own = shared.value
-        kept = [s for s in range(len(own.sweeps)) if s > own.burn_in] or [len(own.sweeps) - 1]
-        back2 = np.array([own.opening(s)[0] / own.sizes(s)[0] for s in kept])
-        back1 = np.array([own.opening(s)[1] / own.sizes(s)[1] for s in kept])
+        found = known.select(["words", "lengths", "sizes", "u", "n"]).to_pylist()
+        names, dishes = dishes_of(found[0]) if found else ([], Dishes(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))))
+        p2, p1, p0, kept = dishes.log10(own)
+        have2 = dishes.word * PAIRS + dishes.context
+        have1 = dishes.pairs
+        c = np.append(np.bincount(dishes.word, weights=dishes.count, minlength=dishes.n), 0).astype(np.int64)
+        base = np.array([own.opening(s)[2] * own.unknown / own.sizes(s)[2] for s in kept])
+        p0 = np.concatenate([p0.T.reshape(dishes.n, len(kept)), base[None, :]])  # the last is the unknown dish
+        p1 = p1.T.reshape(len(have1), len(kept))
+        back2 = np.array([own.opening(s)[0] / own.sizes(s)[0] for s in kept]).T
+        back1 = np.array([own.opening(s)[1] / own.sizes(s)[1] for s in kept]).T
+        index = {w: k for k, w in enumerate(names)}
 
         def find(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(have, want), max(0, len(have) - 1))
-            return at, (have[at] == want if len(have) else np.zeros(len(want), bool))
-
-        for batch in batches:
-            for part in small_batches(batch, 10_000):
-                row, u = _flat(part.column("u"))
-                u = u.to_numpy().astype(np.int64)
-                out = np.empty(len(u))
-                have_row, have = _flat(part.column("u2"))
-                at, hit = find(have_row * PAIRS + have.to_numpy(), row * PAIRS + u)
-                out[hit] = part.column("p2").flatten().to_numpy()[at[hit]]
-                miss = np.flatnonzero(~hit)
-                if len(miss):
-                    p1 = part.column("p1").flatten().to_numpy().reshape(-1, len(kept))
-                    p0 = part.column("p0").flatten().to_numpy().reshape(-1, len(kept))
-                    pair_row, pair = _flat(part.column("u1"))
-                    context, last, rows = u[miss], u[miss] % SIDE, row[miss]
-                    at, known = find(pair_row * SIDE + pair.to_numpy(), rows * SIDE + last)
-                    p = p0[rows] * back1[:, last].T
-                    p[known] = p1[at[known]]
-                    out[miss] = np.log10(np.maximum((p * back2[:, context].T).mean(axis=1), 1e-300))
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(out))
-                yield pa.RecordBatch.from_arrays([part.column("of"), part.column("first"), part.column("c"), lists.cast(floats)], names=["of", "first", "c", "p"])
-
-    return joined.mapInArrow(reply, "of long, first int, c long, p array<double>")
+            if not len(have):
+                return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+            at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+            return at, have[at] == want
+
+        out: dict[str, list] = {k: [] for k in ("of", "first", "sizes", "c", "p")}
+        for row in asks.select(["chunk", "words", "lengths", "first", "sizes", "u", "n"]).to_pylist():
+            words, sizes, u, _ = _unpack(row)
+            number = np.fromiter((index.get(w, dishes.n) for w in words), np.int64, len(words))
+            each = np.repeat(number, sizes)
+            p = np.empty(len(u))
+            at, hit = find(have2, each * PAIRS + u)
+            p[hit] = p2[at[hit]]
+            miss = np.flatnonzero(~hit)
+            if len(miss):
+                last = u[miss] % SIDE
+                at, under = find(have1, each[miss] * SIDE + last)
+                q = p0[each[miss]] * back1[last]
+                q[under] = p1[at[under]]
+                p[miss] = np.log10(np.maximum((q * back2[u[miss]]).mean(axis=1), 1e-300))
+            for name, value in (("of", row["chunk"]), ("first", row["first"]), ("sizes", row["sizes"]), ("c", _pack(c[number], "<i8")), ("p", _pack(p, "<f4"))):
+                out[name].append(value)
+        return pa.table({"of": pa.array(out["of"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("first", "sizes", "c", "p")}})
+
+    return asked.select("bucket", "chunk", "words", "lengths", "first", "sizes", "u", "n").groupBy("bucket").cogroup(vocabulary.withColumnRenamed("bucket", "own").groupBy("own")).applyInArrow(reply, "of long, first binary, sizes binary, c binary, p binary")
 
 
 def score_documents(docs: DataFrame, held_out, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row; the model learns from the others."""
-    rows = materialise(chunked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))), "chunks")
-    asked = rows.filter("kind = 1").select("chunk", "word", "first", "entries")
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+    buckets = max(16, -(-size // BUCKET_BYTES))
+    rows = materialise(chunked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")), buckets), "chunks")
+    asked = rows.filter("kind = 1")
     vocabulary = materialise(vocabulary_of(asked), "vocabulary")
     model = fit(vocabulary, **how)
     answers = answer(asked, vocabulary, model)
-    tokens, size = model.tokens, model.tokens + model.words + 1
-
-    def total(texts: pa.Table, words: pa.Table) -> pa.Table:
-        first, lists = words.column("first").to_numpy(), words.column("p").combine_chunks()
-        lengths = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten().to_numpy()
-        begin = np.cumsum(lengths) - lengths
-        place = np.repeat(first - begin, lengths) + np.arange(len(flat))
-        c, p = np.zeros(len(flat), np.int64), np.zeros(len(flat))
-        c[place], p[place] = np.repeat(words.column("c").to_numpy(), lengths), flat
-        base = np.log10((c + 1.0) / size)
+    tokens, scale = model.tokens, model.tokens + model.words + 1
+
+    def total(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        parts = replies.select(["first", "sizes", "c", "p"]).to_pylist()
+        sizes = [np.frombuffer(r["sizes"], "<u2").astype(np.int64) for r in parts]
+        c, p = np.zeros(sum(int(x.sum()) for x in sizes), np.int64), np.zeros(sum(int(x.sum()) for x in sizes))
+        for r, n in zip(parts, sizes, strict=True):
+            first = np.frombuffer(r["first"], "<i4").astype(np.int64)
+            place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            c[place], p[place] = np.repeat(np.frombuffer(r["c"], "<i8"), n), np.frombuffer(r["p"], "<f4")
+        base = np.log10((c + 1.0) / scale)
         numbers = [np.frombuffer(x, np.int32) for x in texts.column("numbers").to_pylist()]
         return pa.table(
             {
