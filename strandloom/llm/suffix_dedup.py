@@ -11,7 +11,7 @@ sorted together:
 * Segments that are equal as a whole are counted, not moved: all their starts repeat. For an anchor with different
   segments one copy of each goes to a task. There the segments' blocks of 16 bytes (aligned to the anchor, named by
   rank) are sorted as suffixes by grouping_sort, common prefixes of neighbours tell which runs of blocks repeat, and an
-  exact comparison of whole strings settles the starts in those runs.
+  comparison of whole strings, by 64-bit fingerprints, settles the starts in those runs.
 
 An anchor with more than `crowd` different segments isn't brought to one task: for those the strings themselves are
 dealt out by a 128-bit digest and counted, which is exact at any size.
@@ -24,7 +24,6 @@ an empty table gives an empty result; other columns take no part.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,59 +129,96 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+_TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64, endpoint=False)  # one number for each byte value
+_BASE = np.uint64(0x2545F4914F6CDD1D)  # odd, so that powers of it can be divided by
+_UNBASE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _A
+    return (x ^ (x >> np.uint64(29))) * _B
+
+
+class Fingerprints:
+    """64-bit fingerprints of any substrings of a byte array, from one running sum."""
+
+    def __init__(self, data: bytes):
+        values = _TABLE[np.frombuffer(data, np.uint8)]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, len(data)), dtype=np.uint64)])
+        self.inverse = _powers(_UNBASE, len(data) + 1)
+
+    def of(self, at: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[at + length] - self.sums[at]) * self.inverse[at]
+
+
 def repeated_starts(segments: list[tuple[int, int, bytes]], length: int, block: int = BLOCK) -> list[list[tuple[int, int]]]:
     """Segments are (group, offset of the anchor, bytes); per segment the runs of starts whose string some other segment of its group has too."""
-    pieces, owner, begin, spans = [], [], [], []
-    for k, (group, anchor, data) in enumerate(segments):
-        lead = anchor % block
-        count = (len(data) - lead) // block
-        spans.append((lead, count, sum(map(len, pieces))))
-        body = np.frombuffer(data, f"V{block}", count, lead)
-        pieces.append(body)
-        owner.append(np.full(count, group, np.int64))
-        begin.append(np.arange(count) - anchor // block)
-    kind = np.dtype([("g", np.int64), ("o", np.int64), ("b", f"V{block}")])
-    named = np.zeros(sum(map(len, pieces)), kind)
-    named["g"], named["o"], named["b"] = np.concatenate(owner), np.concatenate(begin), np.concatenate(pieces)
-    _, names, counts = np.unique(named.view(f"V{kind.itemsize}"), return_inverse=True, return_counts=True)
+    sizes = np.array([len(x[2]) for x in segments])
+    base = np.cumsum(sizes) - sizes  # where each segment begins in the whole
+    anchor = np.array([x[1] for x in segments])
+    group = _mix(np.array([x[0] for x in segments], np.int64).view(np.uint64))
+    prints = Fingerprints(b"".join(x[2] for x in segments))
+
+    lead = anchor % block
+    count = np.maximum((sizes - lead) // block, 0)
+    first = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(segments)), count)
+    number = np.arange(count.sum()) - first[owner]
+    offset = number - anchor[owner] // block  # blocks from the anchor: equal only where they are aligned alike
+    value = _mix(prints.of(base[owner] + lead[owner] + number * block, block) + _mix(group[owner] + offset.astype(np.uint64) * _A))
+    _, names, counts = np.unique(value, return_inverse=True, return_counts=True)
+
     need = (length - block + 1) // block  # whole blocks that any string of this length holds
     # A run of blocks that are all found elsewhere can repeat only if it is long enough; everything else ends a suffix.
     shared = counts[names] > 1
-    symbols: list[int] = []
-    place: list[int] = []
-    stop = len(counts)
-    for lead, count, at in spans:
-        for a, b in _runs(shared[at : at + count]):
-            if b - a + 1 >= need:
-                symbols += names[at + a : at + b + 1].tolist()
-                place += range(at + a, at + b + 1)
-                symbols.append(stop)  # every end is a symbol of its own
-                place.append(-1)
-                stop += 1
-    order = suffix_array(symbols)
-    shares = common_prefixes(symbols, order)
-    good = np.zeros(len(named), bool)
-    for k, i in enumerate(order):
-        if place[i] >= 0 and max(shares[k], shares[k + 1] if k + 1 < len(order) else 0) >= need:
-            good[place[i]] = True
-    candidates: list[list[tuple[int, int]]] = []
-    seen: Counter[tuple[int, int, bytes]] = Counter()
-    for (group, anchor, data), (lead, count, at) in zip(segments, spans, strict=True):
-        own = []
-        for a, b in _runs(good[at : at + count]):  # a start's first whole block must be good
-            own.append((max(0, lead + a * block - block + 1), min(lead + b * block, len(data) - length)))
-        candidates.append(own)
-        for a, b in own:
-            for i in range(a, b + 1):
-                seen[group, anchor - i, data[i : i + length]] += 1
-    out = []
-    for (group, anchor, data), own in zip(segments, candidates, strict=True):
-        flags = np.zeros(max(0, len(data) - length + 1), bool)
-        for a, b in own:
-            for i in range(a, b + 1):
-                flags[i] = seen[group, anchor - i, data[i : i + length]] > 1
-        out.append(_runs(flags))
-    return out
+    edge = np.zeros(len(shared) + 1, bool)
+    edge[first[count > 0]] = True
+    edge[-1] = True
+    begins = np.flatnonzero(shared & (edge[:-1] | ~np.concatenate([[False], shared[:-1]])))
+    ends = np.flatnonzero(shared & (edge[1:] | ~np.concatenate([shared[1:], [False]])))
+    long = ends - begins + 1 >= need
+    begins, ends = begins[long], ends[long]
+    spans = ends - begins + 1
+    symbols = np.empty(int(spans.sum()) + len(spans), np.int64)
+    place = np.full(len(symbols), -1, np.int64)
+    stops = np.cumsum(spans + 1) - 1
+    inner = np.ones(len(symbols), bool)
+    inner[stops] = False
+    place[inner] = np.arange(int(spans.sum())) + np.repeat(begins - (np.cumsum(spans) - spans), spans)
+    symbols[inner] = names[place[inner]]
+    symbols[stops] = len(counts) + np.arange(len(spans))  # every end is a symbol of its own
+    text = symbols.tolist()
+    order = suffix_array(text)
+    shares = np.array([*common_prefixes(text, order), 0], np.int64)
+    good = np.zeros(len(names), bool)
+    if len(text):
+        here = place[np.array(order)]
+        long_here = (np.maximum(shares[:-1], shares[1:]) >= need) & (here >= 0)
+        good[here[long_here]] = True
+
+    # A start's first whole block must be good; the starts before it that reach into no earlier block come along.
+    candidate = np.zeros(int(sizes.sum()) + 1, np.int64)
+    g = np.flatnonzero(good)
+    o = owner[g]
+    at = lead[o] + number[g] * block
+    low, high = np.maximum(at - block + 1, 0), np.minimum(at, sizes[o] - length)
+    some = low <= high
+    np.add.at(candidate, base[o][some] + low[some], 1)
+    np.add.at(candidate, base[o][some] + high[some] + 1, -1)
+    starts = np.flatnonzero(np.cumsum(candidate[:-1]) > 0)
+    which = np.searchsorted(base, starts, side="right") - 1
+    shift = (starts - base[which] - anchor[which]).astype(np.uint64)
+    whole = _mix(prints.of(starts, length) + _mix(group[which] + shift * _A))
+    _, back, many = np.unique(whole, return_inverse=True, return_counts=True)
+    flags = np.zeros(int(sizes.sum()) + 1, bool)
+    flags[starts[many[back] > 1]] = True
+    return [_runs(flags[b : b + n]) for b, n in zip(base.tolist(), sizes.tolist(), strict=True)]
 
 
 def compare_segments(segments: DataFrame, length: int, batch_bytes: int = 6_000_000) -> DataFrame:
