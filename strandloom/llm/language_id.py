@@ -163,7 +163,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     fitted = [r for k, r in enumerate(rows) if k % 5] or rows
     weights, bias = ftrl(fitted, features, max(1, len(languages)))
     held = rows[::5]
-    logits = np.array([x @ weights[p] + bias for p, x, _ in held]).reshape(len(held), -1)
+    logits = np.array([x @ weights[p] + bias for p, x, _ in held]).reshape(len(held), weights.shape[1])
     return LanguageModel(languages, idf, weights, bias, fit_temperature(logits, np.array([y for *_, y in held], int)))
 
 
