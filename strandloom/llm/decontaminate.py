@@ -8,6 +8,9 @@ difference of positions): on a diagonal every slot value of the item must stand
 the agreement is by chance and the diagonal is dropped. A document leaks an item if it has `threshold` or more of the
 item's windows on consistent diagonals. Copies with other numbers, names or units are caught as well as literal ones.
 
+Templates are made only for documents that have one of the benchmark's key words (see _key_words); all others can't
+leak enough of any item.
+
 Defined results: null and empty texts have no window and are clean; items with fewer words than a window, or without a
 telling window, match nothing; rows that repeat an id are judged by their own text; null ids are reported as null;
 an empty table on either side gives no leak; other columns take no part, whatever their names.
@@ -15,7 +18,7 @@ an empty table on either side gives no leak; other columns take no part, whateve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words and signs that count as units of measure.
@@ -27,6 +30,7 @@ UNITS = (
 ).split()
 MARK = "\x01"
 BROADCAST_WINDOWS = 500_000
+KEY_WORDS = 20_000
 
 
 def _marked(text: Column) -> Column:
@@ -53,6 +57,21 @@ def _telling(windowed: Column, window: int) -> Column:
     return F.regexp_count(windowed, F.lit(r"<(?:name|num|unit)>")) <= window - 2
 
 
+def _key_words(items: DataFrame, threshold: float, most: int) -> list[str] | None:
+    """Words of which every leaking document has one, or None if there is no such list of at most `most` words.
+
+    A leak lacks at most a 1 - threshold part of an item's windows, so it has one of any larger part: of the windows
+    with the longest words, whose longest words these are."""
+    words = F.filter(F.split("window", " "), lambda w: w.rlike(r"^\p{L}+$"))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))
+    sized = items.select("item_id", "item_key", "item_pos", longest.alias("k"))
+    item = Window.partitionBy("item_id", "item_key")
+    ranked = sized.select("k", F.row_number().over(item.orderBy(F.col("k.size").desc_nulls_last(), "k.word", "item_pos")).alias("r"), F.count("*").over(item).alias("n"))
+    needed = ranked.filter(F.col("r") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
+    found = [r["word"] for r in needed.select("k.word").distinct().limit(most + 1).collect()]
+    return None if len(found) > most or None in found else found
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """doc_id, text_key (a hash of the text), item_id, n_matched, n_windows, containment, reworded (a slot differs)."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.xxhash64(item_text).alias("item_key"), _marked(F.col(item_text)).alias("marked"))
@@ -60,14 +79,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, thresh
     items = items.select("item_id", "item_key", "item_pos", "window", F.xxhash64("window").alias("h"), F.slice("raw", F.col("item_pos") + 1, window).alias("item_values")).distinct()
     sizes = items.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))
 
+    keys = _key_words(items, threshold, KEY_WORDS)
+    if keys is not None:  # most documents have no such word and need no template
+        words = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
+        docs = docs.filter(F.exists(words, lambda w: w.isin(keys)) if keys else F.lit(False))
     read = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), _marked(F.col(text)).alias("marked"))
-    split = read.select("doc_id", "text_key", F.split("marked", " ").alias("raw"), _windows(_template(F.col("marked")), window).alias("windows"))
-    flat = split.select("doc_id", "text_key", "raw", F.posexplode("windows").alias("pos", "window")).withColumn("h", F.xxhash64("window"))
-    own = F.slice("raw", F.col("pos") + 1, window)
+    flat = read.select("doc_id", "text_key", "marked", F.posexplode(_windows(_template(F.col("marked")), window)).alias("pos", "found")).withColumn("h", F.xxhash64("found"))
+    own = F.slice(F.split("marked", " "), F.col("pos") + 1, window)
     if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:  # the benchmark is small: it goes to the texts
-        joined = flat.join(F.broadcast(items), ["h", "window"]).withColumn("values", own)
+        joined = flat.join(F.broadcast(items), "h").filter("found = window").withColumn("values", own)
     else:
-        joined = flat.withColumn("values", own).drop("raw").join(items, ["h", "window"])
+        joined = flat.withColumn("values", own).drop("marked").join(items, "h").filter("found = window")
     slots = F.filter(
         F.arrays_zip(F.split("window", " ").alias("kind"), F.col("item_values").alias("x"), F.col("values").alias("y")), lambda z: z["kind"].isin("<name>", "<num>", "<unit>")
     )
@@ -85,5 +107,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, thresh
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that leak no item, all columns."""
-    leaks = find_leaks(docs, benchmark, text=text, doc_id=doc_id, **how).select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct()
-    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col("_leak_id")) & (F.xxhash64(text) == F.col("_leak_key")), "left_anti")
+    leaks = find_leaks(docs, benchmark, text=text, doc_id=doc_id, **how).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = F.col("row")
+    same = own.getField(doc_id).eqNullSafe(F.col("leak_id")) & (F.xxhash64(own.getField(text)) == F.col("leak_key"))
+    return rows.join(leaks, same, "left_anti").select("row.*")
