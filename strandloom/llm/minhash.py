@@ -62,19 +62,22 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
 def sketch(elements: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """One 64-bit value for each coordinate; coordinates is a power of two. Two sets agree in a coordinate with probability J."""
     shift = np.uint64(64 - (coordinates.bit_length() - 1))
+    numbers = np.arange(2 * coordinates, dtype=np.uint64)
+    seeds = mix((numbers + np.uint64(1)) * _A)
     out, empty = np.zeros(coordinates, np.uint64), np.ones(coordinates, bool)
     at = 0
     while at < coordinates and empty.any():
-        rounds = np.arange(at, min(coordinates, at + max(1, 2048 // len(elements))), dtype=np.uint64)
-        thrown = np.sort(mix(elements[None, :] ^ mix((rounds + np.uint64(1)) * _A)[:, None]), axis=1)
+        rounds = np.arange(at, min(coordinates, at + max(1, 2048 // len(elements))))
+        thrown = np.sort(mix(elements[None, :] ^ seeds[rounds][:, None]), axis=1)
         flat = thrown.ravel()  # by round, then by bin and value: a bin's first entry is what it keeps
         bins, first = np.unique((flat >> shift).astype(np.int64), return_index=True)
         fresh = empty[bins]
-        out[bins[fresh]] = mix(flat[first[fresh]] + rounds[first[fresh] // len(elements)])
+        out[bins[fresh]] = mix(flat[first[fresh]] + numbers[rounds[first[fresh] // len(elements)]])
         empty[bins] = False
         at += len(rounds)
     for b in np.flatnonzero(empty):  # the fixed rounds
-        out[b] = mix(np.min(mix(elements ^ mix(np.uint64(coordinates + 1 + b) * _A))) + np.uint64(coordinates + b))
+        least = mix(elements ^ seeds[coordinates + b]).min(keepdims=True)
+        out[b] = mix(least + numbers[coordinates + b])[0]
     return out
 
 

@@ -23,8 +23,9 @@ KINDS = ("assign", "access", "hex", "generic")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
+#: A whole run of the characters that values have, at least 20 without dot and equals sign, with two digits and a letter.
 GENERIC = (
-    r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])(?=[^0-9]*[0-9][^0-9\s]*[0-9])"
+    r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_-]*[0-9][A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])"
     r"[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_.=-])"
 )
 SPAN = "array<struct<start:int,kind:int,end:int,hash:string>>"
