@@ -35,6 +35,7 @@ TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MEMO_WORDS = 500_000
 LONGEST_MEMO_WORD = 64
+TOGETHER = 512
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -59,11 +60,20 @@ class WordMemo(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of words without spaces: many to a text, told apart by the tokens' places in it."""
+        out: list[bytes] = []
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for own, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            begins = np.cumsum([0, *(len(w) + 1 for w in own)])
+            places = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cuts = (4 * np.searchsorted(places, begins)).tolist()
+            ids = np.asarray(found.ids, "<u4").tobytes()
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def __missing__(self, word: str) -> bytes:
-        return self.encode([word])[0]
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def documents(self, texts: list[str]) -> list[bytes]:
         split = []
