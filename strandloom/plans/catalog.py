@@ -363,7 +363,8 @@ _MATRIX_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{x}', '{y}', {s})"
 JOIN t b ON a.matrix = b.matrix AND a.x = b.y AND a.y = b.x JOIN t c ON a.matrix = c.matrix AND c.x = {sql.complement('a.x')} AND c.y = {sql.complement('a.y')} GROUP BY a.matrix"""
 )
 def matrix_symmetry(spark, sf_dir):
-    return spark.createDataFrame([(n, m.transpose_symmetric(), m.complement_symmetric()) for n, m in _MATRICES.items()], "matrix string, transpose_symmetric boolean, complement_symmetric boolean")
+    rows = [(n, x, y, s) for n, m in _MATRICES.items() for x, y, s in m.rows()]
+    return sweep.matrix_predicates(spark.createDataFrame(rows, "matrix string, x string, y string, s double"))
 
 
 @query()

@@ -51,12 +51,11 @@ def aligned(pairs: str, config: AlignConfig, strings: bool = False) -> str:
     gap1, run1 = (f"(CASE WHEN {free1} THEN 0.0 ELSE {c} * {f(1, 'i', 'j')} END)" for c in (first, extend))
     gap2, run2 = (f"(CASE WHEN {free2} THEN 0.0 ELSE {c} * {f(2, 'i', 'j')} END)" for c in (first, extend))
     cand = {
-        0: [f"lq0 + sub", f"(lq1 + sub) + {end1('i - 1', 'j - 1')}", f"(lq2 + sub) + {end2('i - 1', 'j - 1')}"],
+        0: ["lq0 + sub", f"(lq1 + sub) + {end1('i - 1', 'j - 1')}", f"(lq2 + sub) + {end2('i - 1', 'j - 1')}"],
         1: [f"h0 + {gap1}", f"h1 + {run1}", f"h2 + ({gap1} + {end2('i', 'j - 1')})"],
         2: [f"lh0 + {gap2}", f"lh1 + ({gap2} + {end1('i - 1', 'j')})", f"lh2 + {run2}"],
     }
     valid = {0: "i >= 1 AND j >= 1 AND j <= m", 1: "j >= 1 AND j <= m", 2: "i >= 1 AND j >= 0 AND j <= m"}
-    source = {0: "lq", 1: "", 2: "l"}
     rows = ("a", "b") if strings else ()
     carried = [f"h{s}" for s in range(3)] + [f"q{s}" for s in range(3)]
     texts = [f"{r}{s}" for r in rows for s in range(3)] + [f"q{r}{s}" for r in rows for s in range(3)]
@@ -75,7 +74,6 @@ def aligned(pairs: str, config: AlignConfig, strings: bool = False) -> str:
     ends = f"h0 AS e0, h1 + CASE WHEN {r1} THEN 0.0 ELSE {close} * {f(1, 'n', 'm')} END AS e1, h2 + CASE WHEN {r2} THEN 0.0 ELSE {close} * {f(2, 'n', 'm')} END AS e2"
     pick = lambda r: f"CASE WHEN e0 >= e1 AND e0 >= e2 THEN {r}0 WHEN e1 >= e2 THEN {r}1 ELSE {r}2 END"
     extra = f", {pick('a')} AS aligned1, {pick('b')} AS aligned2" if strings else ""
-    _ = source
     return f"""
 WITH RECURSIVE pairs AS ({pairs}),
 sized AS (SELECT k1, k2, seq1, seq2, length(seq1)::INT AS n, length(seq2)::INT AS m FROM pairs),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import COMP_SYMMETRIC, INVERSE_DISTANCE, NON_COMP_SYMMETRIC, AlignConfig, ScoreMatrix, flag_string
-from ..functions.dna import SYMMETRIES_2D, SYMMETRIES_3D, dimer_swapped, expected_invariance, restored, transformed
+from ..functions.dna import SYMMETRIES_2D, SYMMETRIES_3D, complement, dimer_swapped, expected_invariance, restored, transformed
 from ..operators.align import align_by, nw3_align, nw_align, nw_score
 from ..operators.rescore import score_alignment, score_alignment_3d
 
@@ -18,6 +18,15 @@ TOLERANCE = 1e-9
 MATRICES = {"comp_symmetric": COMP_SYMMETRIC, "non_comp_symmetric": NON_COMP_SYMMETRIC}
 
 
+def matrix_predicates(scores: DataFrame) -> DataFrame:
+    """matrix, transpose_symmetric, complement_symmetric of the relation (matrix, x, y, s): two self-joins and bool_and."""
+    other = lambda name: scores.select("matrix", F.col("x").alias("x_" + name), F.col("y").alias("y_" + name), F.col("s").alias("s_" + name))
+    swapped = other("t").withColumnsRenamed({"x_t": "y", "y_t": "x"})
+    paired = other("c").withColumns({"x": complement("x_c"), "y": complement("y_c")}).drop("x_c", "y_c")
+    both = scores.join(swapped, ["matrix", "x", "y"]).join(paired, ["matrix", "x", "y"])
+    return both.groupBy("matrix").agg(F.bool_and(F.col("s") == F.col("s_t")).alias("transpose_symmetric"), F.bool_and(F.col("s") == F.col("s_c")).alias("complement_symmetric"))
+
+
 @dataclass(frozen=True)
 class Condition:
     """One row of a grid but for the symmetry."""
