@@ -1,4 +1,3 @@
-import gzip  # noqa: F401
 import io
 import struct
 
