@@ -53,25 +53,31 @@ def align_columns(columns: list[pa.Array], config: AlignConfig, traceback: bool)
     parsed, dense = [_Column(c) for c in columns], config.matrix.dense()
     total = len(columns[0])
     scores = np.full(total, np.nan)
-    strings: list[list[str | None]] = [[None] * total for _ in columns] if traceback else []
+    texts: list[list[pa.Array]] = [[] for _ in columns]
+    order: list[np.ndarray] = []
     for rows, lengths in _groups(parsed):
         size = kernel2d.pairs_at_once(*lengths, traceback) if len(columns) == 2 else kernel3d.triples_at_once(*lengths, traceback)
         for at in range(0, len(rows), size):
             part = rows[at : at + size]
             own = [c.rows(part, n) for c, n in zip(parsed, lengths, strict=True)]
             if len(columns) == 2:
-                found, steps = kernel2d.align_block(*own, config, dense, traceback)
-                texts = kernel2d.render_block(*own, steps) if traceback else ()
+                scores[part], steps = kernel2d.align_block(*own, config, dense, traceback)
             else:
-                found, steps = kernel3d.align_block(tuple(own), config, dense, traceback)
-                texts = kernel3d.render_block(tuple(own), steps) if traceback else ()
-            scores[part] = found
-            for target, text in zip(strings, texts, strict=True):
-                for k, value in zip(part.tolist(), text, strict=True):
-                    target[k] = value
+                scores[part], steps = kernel3d.align_block(tuple(own), config, dense, traceback)
+            if traceback:
+                lines, begin = kernel2d.render_block(*own, steps) if len(columns) == 2 else kernel3d.render_block(tuple(own), steps)
+                order.append(part)
+                offsets = pa.py_buffer(begin.astype(np.int32).tobytes())
+                for target, line in zip(texts, lines, strict=True):
+                    target.append(pa.StringArray.from_buffers(len(part), offsets, pa.py_buffer(line.tobytes())))
     missing = ~np.logical_and.reduce([c.valid for c in parsed])
     score = pa.array(scores, mask=missing)
     if not traceback:
         return score
+    place = np.full(total, -1, np.int64)  # of each row among the aligned ones
+    aligned = np.concatenate(order) if order else np.zeros(0, np.int64)
+    place[aligned] = np.arange(len(aligned))
+    take = pa.array(place, mask=place < 0)
+    strings = [pa.concat_arrays(t).take(take) if t else pa.nulls(total, pa.string()) for t in texts]
     names = [f"aligned{k + 1}" for k in range(len(columns))]
-    return pa.StructArray.from_arrays([*(pa.array(s, pa.string()) for s in strings), score], names=[*names, "score"], mask=pa.array(missing))
+    return pa.StructArray.from_arrays([*strings, score], names=[*names, "score"], mask=pa.array(missing))

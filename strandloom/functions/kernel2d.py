@@ -58,15 +58,17 @@ def align_block(a: np.ndarray, b: np.ndarray, config: AlignConfig, dense: np.nda
     reversed_b = np.ascontiguousarray(cb[::-1])
     shape = (3, n + 2, count)  # row i + 1 is cell i; row 0 stays empty
     before, last, now = (np.full(shape, NONE) for _ in range(3))
-    back = np.zeros((3, n + 1, m + 1, count), np.uint8) if traceback else None
+    back = np.zeros((3, n + m + 1, n + 1, count), np.uint8) if traceback else None  # by kind, diagonal and cell
     last[0, 1] = 0.0
 
-    def best(c0, c1, c2, kind, rows, cols, target):
+    def best(c0, c1, c2, kind, d, lo, target):
         np.maximum(c0, c1, out=target)
         if back is not None:
-            came = (c1 > c0).astype(np.uint8)
-            came[c2 > target] = 2
-            back[kind][rows, cols] = came
+            came = back[kind, d, lo : lo + len(target)]
+            np.greater(c1, c0, out=came.view(bool))
+            third = (c2 > target).view(np.uint8)
+            np.left_shift(third, 1, out=third)
+            np.maximum(came, third, out=came)
         np.maximum(target, c2, out=target)
 
     for d in range(1, n + m + 1):
@@ -80,21 +82,21 @@ def align_block(a: np.ndarray, b: np.ndarray, config: AlignConfig, dense: np.nda
                 sub *= planes[0][rows, cols][:, None]
             p = before[:, lo : hi + 1]
             e1, e2 = pen["end1"][rows - 1, cols - 1][:, None], pen["end2"][rows - 1, cols - 1][:, None]
-            best(p[0] + sub, (p[1] + sub) + e1, (p[2] + sub) + e2, 0, rows, cols, now[0, lo + 1 : hi + 2])
+            best(p[0] + sub, (p[1] + sub) + e1, (p[2] + sub) + e2, 0, d, lo, now[0, lo + 1 : hi + 2])
         lo, hi = max(0, d - m), min(n, d - 1)
         if lo <= hi:  # a gap in the first sequence, from (i, j - 1)
             rows = np.arange(lo, hi + 1)
             cols = d - rows
             p = last[:, lo + 1 : hi + 2]
             gap, run = pen["gap1"][rows, cols][:, None], pen["run1"][rows, cols][:, None]
-            best(p[0] + gap, p[1] + run, p[2] + (gap + pen["end2"][rows, cols - 1][:, None]), 1, rows, cols, now[1, lo + 1 : hi + 2])
+            best(p[0] + gap, p[1] + run, p[2] + (gap + pen["end2"][rows, cols - 1][:, None]), 1, d, lo, now[1, lo + 1 : hi + 2])
         lo, hi = max(1, d - m), min(n, d)
         if lo <= hi:  # a gap in the second sequence, from (i - 1, j)
             rows = np.arange(lo, hi + 1)
             cols = d - rows
             p = last[:, lo : hi + 1]
             gap, run = pen["gap2"][rows, cols][:, None], pen["run2"][rows, cols][:, None]
-            best(p[0] + gap, p[1] + (gap + pen["end1"][rows - 1, cols][:, None]), p[2] + run, 2, rows, cols, now[2, lo + 1 : hi + 2])
+            best(p[0] + gap, p[1] + (gap + pen["end1"][rows - 1, cols][:, None]), p[2] + run, 2, d, lo, now[2, lo + 1 : hi + 2])
         before, last, now = last, now, before
     close = config.costs[1]
     ends = last[:, n + 1].copy()
@@ -113,28 +115,35 @@ def align_block(a: np.ndarray, b: np.ndarray, config: AlignConfig, dense: np.nda
         if not alive.any():
             break
         steps[k, alive] = state[alive]
-        came = back[state, i, j, every]
+        came = back[state, i + j, i, every]
         i = i - (alive & (state != 1))
         j = j - (alive & (state != 2))
         state = np.where(alive, came, state)
     return scores, steps
 
 
-def render_block(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> tuple[list[str], list[str]]:
-    """Aligned strings from the column kinds."""
-    count = a.shape[0]
-    used = (steps != 3).sum(axis=0)
-    out1, out2 = [], []
-    for k in range(count):
-        kinds = steps[: used[k], k][::-1]
-        row1, row2 = np.full(used[k], ord("-"), np.uint8), np.full(used[k], ord("-"), np.uint8)
-        row1[kinds != 1], row2[kinds != 2] = a[k], b[k]
-        out1.append(row1.tobytes().decode())
-        out2.append(row2.tobytes().decode())
-    return out1, out2
+def forward_kinds(steps: np.ndarray, past: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column kinds from the first to the last, all pairs in a row, and where each pair begins."""
+    used = (steps != past).sum(axis=0)
+    begin = np.cumsum(used) - used
+    owner = np.repeat(np.arange(steps.shape[1]), used)
+    return steps[used[owner] - 1 - (np.arange(len(owner)) - begin[owner]), owner], np.append(begin, len(owner))
+
+
+def gapped_rows(letters: np.ndarray, has_letter: np.ndarray) -> np.ndarray:
+    """The bytes of one aligned row of all pairs: its letters in order where a column has one, else gaps."""
+    out = np.full(len(has_letter), ord("-"), np.uint8)
+    out[has_letter] = letters.ravel()  # every pair uses all its letters, so they follow each other
+    return out
+
+
+def render_block(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bytes of both aligned rows, all pairs in a row, and where each pair begins."""
+    kinds, begin = forward_kinds(steps, 3)
+    return [gapped_rows(x, kinds != gap) for x, gap in ((a, 1), (b, 2))], begin
 
 
 def pairs_at_once(n: int, m: int, traceback: bool) -> int:
     """Pairs in a block: its diagonals stay in cache, its pointers within 64 MB."""
     most = BUDGET // (8 * 17 * (min(n, m) + 2))
-    return max(1, min(most, (64 << 20) // (3 * (n + 1) * (m + 1))) if traceback else most)
+    return max(1, min(most, (64 << 20) // (3 * (n + 1) * (n + m + 1))) if traceback else most)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 from .config import AlignConfig
+from .kernel2d import forward_kinds, gapped_rows
 
 NONE = -np.inf
 BUDGET = 128 << 20
@@ -116,16 +117,10 @@ def align_block(seqs: tuple[np.ndarray, np.ndarray, np.ndarray], config: AlignCo
     return scores, steps
 
 
-def render_block(seqs: tuple[np.ndarray, ...], steps: np.ndarray) -> list[list[str]]:
-    used = (steps != 7).sum(axis=0)
-    out: list[list[str]] = [[], [], []]
-    for k in range(seqs[0].shape[0]):
-        kinds = steps[: used[k], k][::-1]
-        for s in range(3):
-            row = np.full(used[k], ord("-"), np.uint8)
-            row[(kinds >> s & 1) == 0] = seqs[s][k]
-            out[s].append(row.tobytes().decode())
-    return out
+def render_block(seqs: tuple[np.ndarray, ...], steps: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bytes of the aligned rows, all triples in a row, and where each begins."""
+    kinds, begin = forward_kinds(steps, 7)
+    return [gapped_rows(x, (kinds >> s & 1) == 0) for s, x in enumerate(seqs)], begin
 
 
 def triples_at_once(n: int, m: int, l: int, traceback: bool) -> int:
