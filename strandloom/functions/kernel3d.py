@@ -16,15 +16,19 @@ NONE = -np.inf
 BUDGET = 128 << 20
 
 
-def _by_axis(config: AlignConfig, lengths: tuple[int, int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each sequence, by letters used after the column: cost of a run's first column, of a further one, of a close."""
+def _penalties(config: AlignConfig, lengths: tuple[int, int, int]) -> list[list[np.ndarray]]:
+    """For each sequence and column kind, [previous kind, letters used after the column]: what the sequence's gap costs there."""
     first, close = config.costs
     out = []
     for s, size in enumerate(lengths):
         left, right = config.free[2 * s], config.free[2 * s + 1]
         x = np.arange(size + 1)
         free = (x == 0) & left | (x == size) & right
-        out.append((np.where(free, 0.0, first), np.where(free, 0.0, config.gap_extend), np.where((x == 1) & left, 0.0, close)))
+        opened, further = np.where(free, 0.0, first), np.where(free, 0.0, config.gap_extend)
+        closed, nothing = np.where((x == 1) & left, 0.0, close), np.zeros(size + 1)
+        gapped = [further if prev >> s & 1 else opened for prev in range(7)]
+        lettered = [closed if prev >> s & 1 else nothing for prev in range(7)]
+        out.append([np.stack(gapped if kind >> s & 1 else lettered) for kind in range(7)])
     return out
 
 
@@ -32,7 +36,7 @@ def align_block(seqs: tuple[np.ndarray, np.ndarray, np.ndarray], config: AlignCo
     """seqs uint8[triples, length] each → scores, and with traceback the kinds of the columns from the last to the first."""
     count = seqs[0].shape[0]
     n, m, l = lengths = tuple(s.shape[1] for s in seqs)
-    cost = _by_axis(config, lengths)
+    cost = _penalties(config, lengths)
     pairs = {}
     for x, y in ((0, 1), (0, 2), (1, 2)):
         table = dense[seqs[x][:, :, None], seqs[y][:, None, :]]  # [triples, x, y]
@@ -68,25 +72,16 @@ def align_block(seqs: tuple[np.ndarray, np.ndarray, np.ndarray], config: AlignCo
                 if step[x] and step[y]:
                     part = pairs[x, y][np.maximum(used[x] - 1, 0), np.maximum(used[y] - 1, 0)]
                     sub = part if sub is None else sub + part
-            best = came = None
-            for prev in range(7):
-                pen = np.zeros(k.shape)
-                for s in range(3):
-                    open_, more, close = cost[s]
-                    if not step[s]:
-                        pen = pen + (more if prev >> s & 1 else open_)[used[s]]
-                    elif prev >> s & 1:
-                        pen = pen + close[used[s]]
-                value = source[prev] if sub is None else source[prev] + sub
-                value = value + pen[:, :, None]
-                if best is None:
-                    best = value
-                    if back is not None:
-                        came = np.zeros(value.shape, np.uint8)
-                else:
-                    if back is not None:
-                        came[value > best] = prev
-                    best = np.maximum(best, value)
+            pen = cost[0][kind][:, i0 : i1 + 1, None] + cost[1][kind][:, None, j0 : j1 + 1] + cost[2][kind][:, kc]
+            values = (source if sub is None else source + sub) + pen[..., None]
+            if back is None:
+                best = np.maximum.reduce(values, axis=0)
+            else:
+                best, came = values[0], np.zeros(values.shape[1:], np.uint8)
+                for prev in range(1, 7):  # the first of equal ones stays
+                    better = values[prev] > best
+                    np.maximum(best, values[prev], out=best)
+                    np.maximum(came, better.view(np.uint8) * np.uint8(prev), out=came)
             best[~possible] = NONE
             here[kind, i0 + 1 : i1 + 2, j0 + 1 : j1 + 2] = best
             if back is not None:
