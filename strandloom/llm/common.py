@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 LOCAL_SCRATCH = "/tmp/checkpoints"
 ARROW_ROWS = 2000
+_MADE: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -24,7 +25,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session hands at most ARROW_ROWS rows at a time to Python: for applications whose rows are long texts."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, min(int(spark.conf.get(rows)), ARROW_ROWS))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +47,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(rows, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing will read again."""
+    for df in tables:
+        if path := df.__dict__.get("_scratch_path"):
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables and archives of this process. What operators returned and has not been written yet is lost."""
+    for path in list(_MADE):
+        _delete(spark, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

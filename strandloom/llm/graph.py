@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _summary(links: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node")
         joined = large.join(down, F.col("a") == F.col("node"))
         small = joined.filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(down.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
-        now = materialise(small, "links")
+        now, last = materialise(small, "links"), now
+        discard(last)
         after = _summary(now)
         if after == state:
             break

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, small_batches, words_of
+from .common import as_bytes, discard, materialise, small_batches, words_of
 from .graph import components
 
 COORDINATES, ROWS = 128, 4
@@ -238,6 +238,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     more = materialise(verified(rest, sets, percent), "verified")
     if more.limit(1).count():
         roots = materialise(components(links.unionByName(more)), "roots")
+    discard(buckets, stars, sets, links, more)  # the result needs signatures, classes and roots
 
     rooted = classes.select("cls", "cid", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
