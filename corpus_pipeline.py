@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm.common import materialise, read
+from strandloom.llm.common import bounded_batches, discard, materialise, read
 from strandloom.llm.decontaminate import decontaminate
 from strandloom.llm.minhash import keep_one
 from strandloom.llm.packing import pack
@@ -14,11 +14,13 @@ from strandloom.llm.secret_scan import redact
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents outside the importance sample go."""
+    bounded_batches(spark)
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    bounded_batches(spark)
     return keep_one(docs, shingle=5, percent=80)
 
 
@@ -34,6 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and place."""
+    bounded_batches(spark)
     return pack(docs)
 
 
@@ -52,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, before = materialise(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        discard(before)
     return docs
