@@ -27,10 +27,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,12 +171,28 @@ class Dishes:
         return np.log10(np.maximum(np.mean(p2, axis=0), 1e-300)), np.array(p1), np.array(p0), kept
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _small(data: bytes) -> bytes:
+    return _zstd()[0].compress(data)
+
+
 def _pack(values: np.ndarray, kind: str) -> bytes:
-    return values.astype(kind).tobytes()
+    """Compressed; bytes of equal weight stand together."""
+    own = np.ascontiguousarray(values.astype(kind))
+    return _small(own.view(np.uint8).reshape(len(own), own.itemsize).T.tobytes())
 
 
-def _words(blob: bytes, lengths: np.ndarray) -> list[bytes]:
-    ends = np.cumsum(lengths)
+def _values(packed: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_zstd()[1].decompress(packed), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _words(packed: bytes, lengths: np.ndarray) -> list[bytes]:
+    blob, ends = _zstd()[1].decompress(packed), np.cumsum(lengths)
     return [blob[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
@@ -211,7 +229,7 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
         for at in range(0, len(texts), 256):
             part = texts[at : at + 256]
             m = len(part)
-            numbers = [back[e - n : e].tobytes() for e, n in zip(ends[at : at + m].tolist(), lengths[at : at + m].tolist(), strict=True)]
+            numbers = [_pack(back[e - n : e], "<i4") for e, n in zip(ends[at : at + m].tolist(), lengths[at : at + m].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array([t[0] for t in part], pa.int64()), pa.array([t[1] for t in part], pa.bool_()), pa.array(numbers, pa.binary()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.binary()) for _ in range(6))], schema=schema)
         firsts = np.searchsorted(pairs, np.arange(len(words) + 1) * PAIRS)
         sizes, contexts = np.diff(firsts), pairs % PAIRS
@@ -224,7 +242,7 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
                 continue
             named = [words[i] for i in own.tolist()]
             entry = np.repeat(firsts[own], sizes[own]) + np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
-            packed = [b"".join(named), _pack(np.fromiter(map(len, named), np.int64, len(named)), "<u4"), _pack(firsts[own], "<i4"), _pack(sizes[own], "<u2"), _pack(contexts[entry], "<u2"), _pack(counts[entry], "<i4")]
+            packed = [_small(b"".join(named)), _pack(np.fromiter(map(len, named), np.int64, len(named)), "<u4"), _pack(np.diff(firsts[own], prepend=0), "<i4"), _pack(sizes[own], "<u2"), _pack(contexts[entry], "<u2"), _pack(counts[entry], "<i4")]
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([chunk], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,14 +265,9 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, ROWS)
 
 
-def _unpack(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, numbers of contexts, contexts, counts."""
-    return (
-        _words(row["words"], np.frombuffer(row["lengths"], "<u4").astype(np.int64)),
-        np.frombuffer(row["sizes"], "<u2").astype(np.int64),
-        np.frombuffer(row["u"], "<u2").astype(np.int64),
-        np.frombuffer(row["n"], "<i4").astype(np.int64),
-    )
+def _unpack(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, numbers of contexts, contexts."""
+    return _words(row["words"], _values(row["lengths"], "<u4").astype(np.int64)), _values(row["sizes"], "<u2").astype(np.int64), _values(row["u"], "<u2").astype(np.int64)
 
 
 VOCABULARY = "bucket int, tokens long, distinct long, once long, twice long, words binary, lengths binary, sizes binary, u binary, n binary"
@@ -267,7 +280,8 @@ def vocabulary_of(asked: DataFrame) -> DataFrame:
         index: dict[bytes, int] = {}
         keys, values = [], []
         for row in table.select(["words", "lengths", "sizes", "u", "n"]).to_pylist():
-            words, sizes, u, n = _unpack(row)
+            words, sizes, u = _unpack(row)
+            n = _values(row["n"], "<i4").astype(np.int64)
             number = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
             keys.append((np.repeat(number, sizes) * PAIRS + u)[n > 0])
             values.append(n[n > 0])
@@ -281,7 +295,7 @@ def vocabulary_of(asked: DataFrame) -> DataFrame:
         out = {
             "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
             **{k: pa.array([int(v)], pa.int64()) for k, v in (("tokens", c.sum()), ("distinct", len(c)), ("once", (c == 1).sum()), ("twice", (c == 2).sum()))},
-            **{k: pa.array([v], pa.binary()) for k, v in (("words", b"".join(words)), ("lengths", _pack(np.fromiter(map(len, words), np.int64, len(words)), "<u4")), ("sizes", _pack(np.bincount(number, minlength=len(known)), "<u2")), ("u", _pack(pairs % PAIRS, "<u2")), ("n", _pack(total, "<i4")))},
+            **{k: pa.array([v], pa.binary()) for k, v in (("words", _small(b"".join(words))), ("lengths", _pack(np.fromiter(map(len, words), np.int64, len(words)), "<u4")), ("sizes", _pack(np.bincount(number, minlength=len(known)), "<u2")), ("u", _pack(pairs % PAIRS, "<u2")), ("n", _pack(total, "<i4")))},
         }
         return pa.table(out)
 
@@ -289,9 +303,9 @@ def vocabulary_of(asked: DataFrame) -> DataFrame:
 
 
 def dishes_of(row: dict) -> tuple[list[bytes], Dishes]:
-    words, sizes, u, n = _unpack(row)
+    words, sizes, u = _unpack(row)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return words, Dishes(hashes, np.repeat(np.arange(len(words)), sizes), u, n)
+    return words, Dishes(hashes, np.repeat(np.arange(len(words)), sizes), u, _values(row["n"], "<i4"))
 
 
 def fit(vocabulary: DataFrame, *, sweeps: int = 3, burn_in: int = 1, strength: float = 1.0) -> Model:
@@ -355,8 +369,8 @@ def answer(asked: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
             return at, have[at] == want
 
         out: dict[str, list] = {k: [] for k in ("of", "first", "sizes", "c", "p")}
-        for row in asks.select(["chunk", "words", "lengths", "first", "sizes", "u", "n"]).to_pylist():
-            words, sizes, u, _ = _unpack(row)
+        for row in asks.select(["chunk", "words", "lengths", "first", "sizes", "u"]).to_pylist():
+            words, sizes, u = _unpack(row)
             number = np.fromiter((index.get(w, dishes.n) for w in words), np.int64, len(words))
             each = np.repeat(number, sizes)
             p = np.empty(len(u))
@@ -373,7 +387,7 @@ def answer(asked: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
                 out[name].append(value)
         return pa.table({"of": pa.array(out["of"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("first", "sizes", "c", "p")}})
 
-    return asked.select("bucket", "chunk", "words", "lengths", "first", "sizes", "u", "n").groupBy("bucket").cogroup(vocabulary.withColumnRenamed("bucket", "own").groupBy("own")).applyInArrow(reply, "of long, first binary, sizes binary, c binary, p binary")
+    return asked.select("bucket", "chunk", "words", "lengths", "first", "sizes", "u").groupBy("bucket").cogroup(vocabulary.withColumnRenamed("bucket", "own").groupBy("own")).applyInArrow(reply, "of long, first binary, sizes binary, c binary, p binary")
 
 
 def score_documents(docs: DataFrame, held_out, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
@@ -389,14 +403,14 @@ def score_documents(docs: DataFrame, held_out, *, text: str = "text", doc_id: st
 
     def total(texts: pa.Table, replies: pa.Table) -> pa.Table:
         parts = replies.select(["first", "sizes", "c", "p"]).to_pylist()
-        sizes = [np.frombuffer(r["sizes"], "<u2").astype(np.int64) for r in parts]
+        sizes = [_values(r["sizes"], "<u2").astype(np.int64) for r in parts]
         c, p = np.zeros(sum(int(x.sum()) for x in sizes), np.int64), np.zeros(sum(int(x.sum()) for x in sizes))
         for r, n in zip(parts, sizes, strict=True):
-            first = np.frombuffer(r["first"], "<i4").astype(np.int64)
+            first = np.cumsum(_values(r["first"], "<i4").astype(np.int64))
             place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            c[place], p[place] = np.repeat(np.frombuffer(r["c"], "<i8"), n), np.frombuffer(r["p"], "<f4")
+            c[place], p[place] = np.repeat(_values(r["c"], "<i8"), n), _values(r["p"], "<f4")
         base = np.log10((c + 1.0) / scale)
-        numbers = [np.frombuffer(x, np.int32) for x in texts.column("numbers").to_pylist()]
+        numbers = [_values(x, "<i4") for x in texts.column("numbers").to_pylist()]
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
