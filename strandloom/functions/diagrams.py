@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dna import _col, complement
+from .dna import _col, bound, complement
 from .render import LINE_WIDTH, chars, wrapped
 
 NOTHING = "\n\n\n"
@@ -14,11 +14,6 @@ LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
 TOP_LABEL, BOTTOM_LABEL, TAB = "SEQ", "STR", 8
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value evaluated once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def normalise_top(row) -> Column:
     """Up to the last letter spaces are gaps; after it gaps are spaces; without a letter spaces are gaps."""
     row = _col(row)

@@ -1,18 +1,18 @@
 """Rescoring and explaining given alignments, as JVM expressions.
 
-An alignment becomes an array of score events, one for each cost that its columns incur; the score is their sum. So an
-explanation always adds up to the score. Strings are compared as they are: rescoring folds no case.
+Each column has a list of costs with their conditions. Events are those costs as rows; the score is their sum, without
+building any event. So an explanation always adds up to the score. Strings are compared as they are: rescoring folds no case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import AlignConfig, Scaler
-from ..functions.dna import _col
+from ..functions.dna import _col, bound
 
 EVENT = (
     "struct<event:string,col_idx:int,seq1_pos:int,seq2_pos:int,seq3_pos:int,mask:int,prev_mask:int,raw_penalty:double,"
@@ -79,99 +79,120 @@ def _guarded(aligned: Sequence[Column], value: Column) -> Column:
     return F.when(known & F.assert_true(equal, F.lit("aligned strings must have the same length")).isNull(), value)
 
 
-def score_events(aligned1, aligned2, config: AlignConfig | None = None) -> Column:
-    """array<EVENT> of a two-sequence alignment; empty strings have none."""
-    config = config or AlignConfig()
-    aligned = [_col(aligned1), _col(aligned2)]
+#: What a column costs: when, event name, position of each sequence, raw cost, factor, characters.
+Cost = tuple[Column, Column, Sequence[Column], Column, Column, Sequence[Column | None]]
+
+
+def _costs_2d(config: AlignConfig, n: Column, m: Column) -> tuple[Callable[[Column], list[Cost]], Callable[[Column], list[Cost]]]:
+    """The costs of a column, and those that the last column adds; n and m are the sequences' lengths."""
     first, close = config.costs
     l1, r1, l2, r2 = (F.lit(x) for x in config.free)
-    n, m = (F.length(F.replace(a, F.lit("-"), F.lit(""))) for a in aligned)
-    none = F.lit(None).cast(EVENT)
-    plain = lambda name: F.lit(name)
+    nothing = (None,) * 3
 
-    def closed(seq: int, col: Column, p1: Column, p2: Column, allowed: Column, at: Sequence[Column], mask: Column) -> Column:
+    def closed(seq: int, p1: Column, p2: Column, when: Column, at: Sequence[Column]) -> Cost:
         """The close of a run whose last gap column had p1, p2 letters used after it."""
         indices = (p1, n - p1, p2 - 1, m - p2) if seq == 1 else (p1 - 1, n - p1, p2, m - p2)
-        factor = _factor(config, indices)
-        return F.when(allowed, _event(plain(f"gap_close_seq{seq}"), col, at, mask, col["prev"], F.lit(close), factor, (None,) * 3)).otherwise(none)
+        return when, F.lit(f"gap_close_seq{seq}"), at, F.lit(close), _factor(config, indices), nothing
 
-    def of(col: Column) -> Column:
+    def column(col: Column) -> list[Cost]:
         p1, p2, mask, prev = col["p1"], col["p2"], col["mask"], col["prev"]
         at = (p1, p2)
         pair = mask == 0
-        raw = F.when(pair, _substitution(config, col["c1"], col["c2"]))
         name = F.when(col["c1"] == col["c2"], "substitution_match").otherwise("substitution_mismatch")
-        sub = F.when(pair, _event(name, col, at, mask, prev, raw, _factor(config, (p1, n - p1 - 1, p2, m - p2 - 1)), (col["c1"], col["c2"], None))).otherwise(none)
-        ends = []
+        raw = F.when(pair, _substitution(config, col["c1"], col["c2"]))
+        out: list[Cost] = [(pair, name, at, raw, _factor(config, (p1, n - p1 - 1, p2, m - p2 - 1)), (col["c1"], col["c2"], None))]
         if close:
-            ends = [
-                closed(1, col, p1, p2, (prev == 1) & (mask != 1) & ~(l1 & (p1 == 0)), at, mask),
-                closed(2, col, p1, p2, (prev == 2) & (mask != 2) & ~(l2 & (p2 == 0)), at, mask),
-            ]
-
-        def gap(seq: int) -> Column:
-            own, size, left, right = (p1, n, l1, r1) if seq == 1 else (p2, m, l2, r2)
+            out += [closed(1, p1, p2, (prev == 1) & (mask != 1) & ~(l1 & (p1 == 0)), at), closed(2, p1, p2, (prev == 2) & (mask != 2) & ~(l2 & (p2 == 0)), at)]
+        for seq, own, size, left, right in ((1, p1, n, l1, r1), (2, p2, m, l2, r2)):
             indices = (p1, n - p1, p2, m - p2 - 1) if seq == 1 else (p1, n - p1 - 1, p2, m - p2)
             more = prev == seq
             kind = F.when(more, f"gap_extend_seq{seq}").otherwise(f"gap_open_seq{seq}")
             cost = F.when(more, F.lit(float(config.gap_extend))).otherwise(F.lit(first))
             free = ((own == 0) & left) | ((own == size) & right)
-            return F.when((mask == seq) & ~free, _event(kind, col, at, mask, prev, cost, _factor(config, indices), (None,) * 3)).otherwise(none)
-
-        return F.filter(F.array(sub, *ends, gap(1), gap(2)), lambda e: e.isNotNull())
+            out.append(((mask == seq) & ~free, kind, at, cost, _factor(config, indices), nothing))
+        return out
 
-    def trailing(columns: Column) -> Column:
-        col = F.element_at(columns, -1)
-        mask = col["mask"]
-        one = closed(1, col, n, m, (mask == 1) & ~r1, (n, m - 1), mask)
-        two = closed(2, col, n, m, (mask == 2) & ~r2, (n - 1, m), mask)
-        return F.filter(F.array(one, two), lambda e: e.isNotNull())
+    def last(col: Column) -> list[Cost]:
+        return [closed(1, n, m, (col["mask"] == 1) & ~r1, (n, m - 1)), closed(2, n, m, (col["mask"] == 2) & ~r2, (n - 1, m))]
 
-    columns = _columns(aligned)
-    found = F.concat(F.flatten(F.transform(columns, of)), trailing(columns))
-    return _guarded(aligned, F.when(F.length(aligned[0]) > 0, found).otherwise(F.array().cast(f"array<{EVENT}>")))
+    return column, last
 
 
-def score_events_3d(aligned1, aligned2, aligned3, config: AlignConfig | None = None) -> Column:
-    """array<EVENT> of a three-sequence alignment; factors are 1."""
-    config = config or AlignConfig(free=(False,) * 6)
-    aligned = [_col(a) for a in (aligned1, aligned2, aligned3)]
+def _costs_3d(config: AlignConfig, sizes: Sequence[Column]) -> tuple[Callable[[Column], list[Cost]], Callable[[Column], list[Cost]]]:
     first, close = config.costs
-    sizes = [F.length(F.replace(a, F.lit("-"), F.lit(""))) for a in aligned]
-    none, unit = F.lit(None).cast(EVENT), F.lit(1.0)
+    unit, nothing = F.lit(1.0), (None,) * 3
 
-    def of(col: Column) -> Column:
+    def column(col: Column) -> list[Cost]:
         at = [col["p1"], col["p2"], col["p3"]]
         chars = [col["c1"], col["c2"], col["c3"]]
         mask, prev = col["mask"], col["prev"]
-        out = []
+        out: list[Cost] = []
         for x, y in ((0, 1), (0, 2), (1, 2)):
             both = (chars[x] != "-") & (chars[y] != "-")
             name = F.when(chars[x] == chars[y], "substitution_match").otherwise("substitution_mismatch")
-            raw = F.when(both, _substitution(config, chars[x], chars[y]))
-            out.append(F.when(both, _event(name, col, at, mask, prev, raw, unit, [c if s in (x, y) else None for s, c in enumerate(chars)])).otherwise(none))
+            out.append((both, name, at, F.when(both, _substitution(config, chars[x], chars[y])), unit, [c if s in (x, y) else None for s, c in enumerate(chars)]))
         for s in range(3):
             left, right = F.lit(config.free[2 * s]), F.lit(config.free[2 * s + 1])
             gap, had = mask.bitwiseAND(1 << s) != 0, prev.bitwiseAND(1 << s) != 0
             free = ((at[s] == 0) & left) | ((at[s] == sizes[s]) & right)
             kind = F.when(had, f"gap_extend_seq{s + 1}").otherwise(f"gap_open_seq{s + 1}")
             cost = F.when(had, F.lit(float(config.gap_extend))).otherwise(F.lit(first))
-            event = F.when(gap & ~free, _event(kind, col, at, mask, prev, cost, unit, (None,) * 3))
+            out.append((gap & ~free, kind, at, cost, unit, nothing))
             if close:
-                event = event.when(~gap & had & ~(left & (at[s] == 0)), _event(F.lit(f"gap_close_seq{s + 1}"), col, at, mask, prev, F.lit(close), unit, (None,) * 3))
-            out.append(event.otherwise(none))
-        return F.filter(F.array(*out), lambda e: e.isNotNull())
-
-    columns = _columns(aligned)
-    found = F.flatten(F.transform(columns, of))
-    if close:
-        col = F.element_at(columns, -1)
-        last = [
-            F.when((col["mask"].bitwiseAND(1 << s) != 0) & ~F.lit(config.free[2 * s + 1]), _event(F.lit(f"gap_close_seq{s + 1}"), col, sizes, col["mask"], col["prev"], F.lit(close), unit, (None,) * 3)).otherwise(none)
-            for s in range(3)
-        ]
-        found = F.concat(found, F.filter(F.array(*last), lambda e: e.isNotNull()))
-    return _guarded(aligned, F.when(F.length(aligned[0]) > 0, found).otherwise(F.array().cast(f"array<{EVENT}>")))
+                out.append((~gap & had & ~(left & (at[s] == 0)), F.lit(f"gap_close_seq{s + 1}"), at, F.lit(close), unit, nothing))
+        return out
+
+    def last(col: Column) -> list[Cost]:
+        open_ends = [s for s in range(3) if close and not config.free[2 * s + 1]]
+        return [(col["mask"].bitwiseAND(1 << s) != 0, F.lit(f"gap_close_seq{s + 1}"), sizes, F.lit(close), unit, nothing) for s in open_ends]
+
+    return column, last
+
+
+def _prepared(aligned: Sequence[Column], config: AlignConfig):
+    sizes = [F.length(F.replace(a, F.lit("-"), F.lit(""))) for a in aligned]
+    return _costs_2d(config, *sizes) if len(aligned) == 2 else _costs_3d(config, sizes)
+
+
+def _all_events(aligned: Sequence[Column], config: AlignConfig) -> Column:
+    column, last = _prepared(aligned, config)
+    none = F.lit(None).cast(EVENT)
+
+    def listed(costs: list[Cost], col: Column) -> Column:
+        events = [F.when(when, _event(name, col, at, col["mask"], col["prev"], raw, factor, chars)).otherwise(none) for when, name, at, raw, factor, chars in costs]
+        return F.filter(F.array(*events), lambda e: e.isNotNull()) if events else F.array().cast(f"array<{EVENT}>")
+
+    def of(columns: Column) -> Column:
+        end = F.element_at(columns, -1)
+        return F.concat(F.flatten(F.transform(columns, lambda c: listed(column(c), c))), listed(last(end), end))
+
+    return _guarded(aligned, F.when(F.length(aligned[0]) > 0, bound(_columns(aligned), of)).otherwise(F.array().cast(f"array<{EVENT}>")))
+
+
+def _whole_score(aligned: Sequence[Column], config: AlignConfig) -> Column:
+    """The sum of all costs, without building events."""
+    column, last = _prepared(aligned, config)
+
+    def summed(costs: list[Cost]) -> Column:
+        out = F.lit(0.0)
+        for when, _, _, raw, factor, _ in costs:
+            out = out + F.when(when, raw * factor).otherwise(0.0)
+        return out
+
+    def of(columns: Column) -> Column:
+        return F.aggregate(columns, F.lit(0.0), lambda acc, c: acc + summed(column(c))) + summed(last(F.element_at(columns, -1)))
+
+    return _guarded(aligned, F.when(F.length(aligned[0]) > 0, bound(_columns(aligned), of)).otherwise(0.0))
+
+
+def score_events(aligned1, aligned2, config: AlignConfig | None = None) -> Column:
+    """array<EVENT> of a two-sequence alignment; empty strings have none."""
+    return _all_events([_col(aligned1), _col(aligned2)], config or AlignConfig())
+
+
+def score_events_3d(aligned1, aligned2, aligned3, config: AlignConfig | None = None) -> Column:
+    """array<EVENT> of a three-sequence alignment; factors are 1."""
+    return _all_events([_col(a) for a in (aligned1, aligned2, aligned3)], config or AlignConfig(free=(False,) * 6))
 
 
 def total(events: Column) -> Column:
@@ -180,11 +201,11 @@ def total(events: Column) -> Column:
 
 def score_alignment(aligned1, aligned2, config: AlignConfig | None = None) -> Column:
     """The score of a given alignment; empty strings score 0."""
-    return total(score_events(aligned1, aligned2, config))
+    return _whole_score([_col(aligned1), _col(aligned2)], config or AlignConfig())
 
 
 def score_alignment_3d(aligned1, aligned2, aligned3, config: AlignConfig | None = None) -> Column:
-    return total(score_events_3d(aligned1, aligned2, aligned3, config))
+    return _whole_score([_col(a) for a in (aligned1, aligned2, aligned3)], config or AlignConfig(free=(False,) * 6))
 
 
 def explain(df: DataFrame, events: Column, keep: Sequence[str], types: Iterable[str] | None = None) -> DataFrame:
