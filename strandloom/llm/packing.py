@@ -243,7 +243,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, *, bins: int = 128, d
     return runs, sequences
 
 
-def place(pieces: DataFrame, runs: list[tuple[int, int, int, int, int]], *, per_task: int = 20_000) -> DataFrame:
+def place(pieces: DataFrame, runs: list[tuple[int, int, int, int, int]], *, per_task: int = 1_000) -> DataFrame:
     """Adds sequence_id and offset: the rank of a piece within its length picks the run."""
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / per_task)).cast("int")
     spread = pieces.groupBy("length").agg(F.count("*").alias("n")).select("length", salts.alias("salts"))
