@@ -11,8 +11,8 @@ item's windows on consistent diagonals. Copies with other numbers, names or unit
 Templates are made only for documents that have one of the benchmark's key words (see _key_words); all others can't
 leak enough of any item.
 
-Defined results: null and empty texts have no window and are clean; items with fewer words than a window, or without a
-telling window, match nothing; rows that repeat an id are judged by their own text; null ids are reported as null;
+Defined results: null and empty texts have no window and are clean; items with a null id, with fewer words than a window, or
+without a telling window match nothing; rows that repeat an id are judged by their own text; null ids are reported as null;
 an empty table on either side gives no leak; other columns take no part, whatever their names.
 """
 
@@ -74,7 +74,7 @@ def _key_words(items: DataFrame, threshold: float, most: int) -> list[str] | Non
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """doc_id, text_key (a hash of the text), item_id, n_matched, n_windows, containment, reworded (a slot differs)."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.xxhash64(item_text).alias("item_key"), _marked(F.col(item_text)).alias("marked"))
+    items = benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.xxhash64(item_text).alias("item_key"), _marked(F.col(item_text)).alias("marked"))
     items = items.select("item_id", "item_key", F.split("marked", " ").alias("raw"), F.posexplode(_windows(_template(F.col("marked")), window)).alias("item_pos", "window")).filter(_telling(F.col("window"), window))
     items = items.select("item_id", "item_key", "item_pos", "window", F.xxhash64("window").alias("h"), F.slice("raw", F.col("item_pos") + 1, window).alias("item_values")).distinct()
     sizes = items.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))

@@ -10,6 +10,7 @@ ITEMS = [
     (2, "too short"),
     (3, None),
     (4, "1 2 3 4 5 6 7 8 9 10 11 12"),
+    (None, "how many marbles remain in the wooden box after the children share them equally among their friends today"),
 ]
 REWORDED = "A train leaves the old station at 85 kilometers per hour while Bertha walks 7 miles to the village market on Friday morning"
 UNSOUND = ITEMS[1][1].replace("remain", "stay").replace("wooden", "iron").replace("equally", "evenly")
