@@ -9,36 +9,58 @@ from __future__ import annotations
 
 import numpy as np
 
-from .config import AlignConfig, factor_planes
+from .config import AlignConfig, Scaler, factor_planes
 
 NONE = -np.inf
 BUDGET = 3 << 20  # bytes of working arrays at a time: what a core keeps in its cache
 
 
-def _edges(config: AlignConfig, n: int, m: int, planes: np.ndarray) -> dict[str, np.ndarray]:
-    """Penalties by cell, [n + 1, m + 1]: `gap1`, `run1` (first and further column of a gap in sequence 1), `end1` (the
-    close of a run whose last column ends at the cell, for a column that goes on from there), and the same for 2."""
-    l1, r1, l2, r2 = config.free
-    first, close = config.costs
-    i, j = np.arange(n + 1)[:, None], np.arange(m + 1)[None, :]
-    free1 = np.broadcast_to((i == 0) & l1 | (i == n) & r1, (n + 1, m + 1))
-    free2 = np.broadcast_to((j == 0) & l2 | (j == m) & r2, (n + 1, m + 1))
-    return {
-        "gap1": np.where(free1, 0.0, first * planes[1]),
-        "run1": np.where(free1, 0.0, config.gap_extend * planes[1]),
-        "gap2": np.where(free2, 0.0, first * planes[2]),
-        "run2": np.where(free2, 0.0, config.gap_extend * planes[2]),
-        "end1": np.where((i == 0) & l1, 0.0, close * planes[1]),
-        "end2": np.where((j == 0) & l2, 0.0, close * planes[2]),
-    }
+class Penalties:
+    """Gap costs along a diagonal, as columns: `gap1`, `run1` (first and further column of a gap in sequence 1 that ends at
+    the cell), `end1` (the close of such a run, for a column that goes on from the cell), and the same for 2.
+
+    Unscaled costs of sequence 1 depend on i alone and those of sequence 2 on j alone, so a diagonal is a slice; scaled
+    ones are gathered from a table of all cells."""
+
+    def __init__(self, config: AlignConfig, n: int, m: int):
+        self.plain = config.scaler is None or (isinstance(config.scaler, Scaler) and not any(config.free))
+        l1, r1, l2, r2 = config.free
+        first, close = config.costs
+        i, j = np.arange(n + 1), np.arange(m + 1)
+        free1, free2 = (i == 0) & l1 | (i == n) & r1, (j == 0) & l2 | (j == m) & r2
+        by_place = {
+            "gap1": np.where(free1, 0.0, first),
+            "run1": np.where(free1, 0.0, config.gap_extend),
+            "end1": np.where((i == 0) & l1, 0.0, close),
+            "gap2": np.where(free2, 0.0, first),
+            "run2": np.where(free2, 0.0, config.gap_extend),
+            "end2": np.where((j == 0) & l2, 0.0, close),
+        }
+        if self.plain:
+            self.factors = None
+            self.last = (1.0, 1.0)
+            self.table = by_place
+        else:
+            self.factors = factor_planes(config, n, m)
+            self.last = (self.factors[1, n, m], self.factors[2, n, m])
+            self.table = {k: (v[:, None] if k[-1] == "1" else v[None, :]) * self.factors[int(k[-1])] for k, v in by_place.items()}
+
+    def along(self, name: str, d: int, lo: int, hi: int, up: int = 0, left: int = 0) -> np.ndarray:
+        """At the cells (i - up, d - i - left) for i from lo to hi."""
+        own = self.table[name]
+        if not self.plain:
+            rows = np.arange(lo, hi + 1)
+            return own[rows - up, d - left - rows][:, None]
+        if name[-1] == "1":
+            return own[lo - up : hi - up + 1, None]
+        return own[d - left - hi : d - left - lo + 1][::-1, None]
 
 
 def align_block(a: np.ndarray, b: np.ndarray, config: AlignConfig, dense: np.ndarray, traceback: bool):
     """a uint8[pairs, n], b uint8[pairs, m] → scores, and with traceback the kinds of the columns from the last to the first."""
     count, n = a.shape
     m = b.shape[1]
-    planes = factor_planes(config, n, m)
-    pen = _edges(config, n, m, planes)
+    pen = Penalties(config, n, m)
     letters, codes = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
     ca, cb = codes[: a.size].reshape(a.shape).T, codes[a.size :].reshape(b.shape).T  # [n, pairs]
     table = dense[np.ix_(letters, letters)]
@@ -51,8 +73,6 @@ def align_block(a: np.ndarray, b: np.ndarray, config: AlignConfig, dense: np.nda
             x, y = (chr(letters[k]) for k in missing[0])
             raise ValueError(f"the score matrix has no entry for {x!r}, {y!r}")
     table = np.nan_to_num(table)
-    # The factor of a letter pair varies by cell unless nothing scales; then sub scores are gathered as they are.
-    plain = bool((planes[0][1:, 1:] == 1.0).all())
     flat, size = table.ravel(), len(letters)
     ca = np.ascontiguousarray(ca) * size
     reversed_b = np.ascontiguousarray(cb[::-1])
@@ -75,35 +95,29 @@ def align_block(a: np.ndarray, b: np.ndarray, config: AlignConfig, dense: np.nda
         now[:] = NONE
         lo, hi = max(1, d - m), min(n, d - 1)
         if lo <= hi:  # two letters, from (i - 1, j - 1)
-            rows = np.arange(lo, hi + 1)
-            cols = d - rows
             sub = flat.take(ca[lo - 1 : hi] + reversed_b[m - d + lo : m - d + hi + 1])
-            if not plain:
-                sub *= planes[0][rows, cols][:, None]
+            if not pen.plain:
+                rows = np.arange(lo, hi + 1)
+                sub *= pen.factors[0][rows, d - rows][:, None]
             p = before[:, lo : hi + 1]
-            e1, e2 = pen["end1"][rows - 1, cols - 1][:, None], pen["end2"][rows - 1, cols - 1][:, None]
-            best(p[0] + sub, (p[1] + sub) + e1, (p[2] + sub) + e2, 0, d, lo, now[0, lo + 1 : hi + 2])
+            best(p[0] + sub, (p[1] + sub) + pen.along("end1", d, lo, hi, 1, 1), (p[2] + sub) + pen.along("end2", d, lo, hi, 1, 1), 0, d, lo, now[0, lo + 1 : hi + 2])
         lo, hi = max(0, d - m), min(n, d - 1)
         if lo <= hi:  # a gap in the first sequence, from (i, j - 1)
-            rows = np.arange(lo, hi + 1)
-            cols = d - rows
             p = last[:, lo + 1 : hi + 2]
-            gap, run = pen["gap1"][rows, cols][:, None], pen["run1"][rows, cols][:, None]
-            best(p[0] + gap, p[1] + run, p[2] + (gap + pen["end2"][rows, cols - 1][:, None]), 1, d, lo, now[1, lo + 1 : hi + 2])
+            gap = pen.along("gap1", d, lo, hi)
+            best(p[0] + gap, p[1] + pen.along("run1", d, lo, hi), p[2] + (gap + pen.along("end2", d, lo, hi, 0, 1)), 1, d, lo, now[1, lo + 1 : hi + 2])
         lo, hi = max(1, d - m), min(n, d)
         if lo <= hi:  # a gap in the second sequence, from (i - 1, j)
-            rows = np.arange(lo, hi + 1)
-            cols = d - rows
             p = last[:, lo : hi + 1]
-            gap, run = pen["gap2"][rows, cols][:, None], pen["run2"][rows, cols][:, None]
-            best(p[0] + gap, p[1] + (gap + pen["end1"][rows - 1, cols][:, None]), p[2] + run, 2, d, lo, now[2, lo + 1 : hi + 2])
+            gap = pen.along("gap2", d, lo, hi)
+            best(p[0] + gap, p[1] + (gap + pen.along("end1", d, lo, hi, 1, 0)), p[2] + pen.along("run2", d, lo, hi), 2, d, lo, now[2, lo + 1 : hi + 2])
         before, last, now = last, now, before
     close = config.costs[1]
     ends = last[:, n + 1].copy()
     if not config.free[1]:
-        ends[1] += close * planes[1, n, m]
+        ends[1] += close * pen.last[0]
     if not config.free[3]:
-        ends[2] += close * planes[2, n, m]
+        ends[2] += close * pen.last[1]
     state = np.argmax(ends, axis=0)
     scores = ends[state, np.arange(count)]
     if back is None:
