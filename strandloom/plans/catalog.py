@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diagrams, dna, render, thermo
-from ..functions.config import COMP_SYMMETRIC, DIMER_FREE, DIRECTIONAL, NON_COMP_SYMMETRIC, AlignConfig, Scaler
+from ..functions.config import COMP_SYMMETRIC, DIMER3_FREE, DIMER_FREE, DIRECTIONAL, NON_COMP_SYMMETRIC, AlignConfig, Scaler
 from ..functions.text import format_event
 from ..operators import align, rescore, screen
 from ..sources import connectors
@@ -211,16 +211,44 @@ def triples(spark, sf_dir):
 THREE = AlignConfig(free=(False, True, True, False, False, False), scaler=None)
 
 
-@query()
+_SHORT_SQL = "SELECT r_regionkey::BIGINT AS k, substr(translate(md5(concat('t', r_regionkey)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, (5 + r_regionkey % 6)::INT) AS seq FROM region"
+TRIPLES_SQL = f"SELECT a.k AS k1, b.k AS k2, c.k AS k3, a.seq AS seq1, b.seq AS seq2, c.seq AS seq3 FROM ({_SHORT_SQL}) a CROSS JOIN ({_SHORT_SQL}) b CROSS JOIN ({_SHORT_SQL}) c"
+
+
+@query(f"SELECT k1, k2, k3, score FROM ({sql.aligned3(TRIPLES_SQL, THREE)})")
 def nw3_score(spark, sf_dir):
     return triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_score("seq1", "seq2", "seq3", THREE).alias("score"))
 
 
+THREE_ASYMMETRIC = AlignConfig(NON_COMP_SYMMETRIC, -4.75, -0.9, False, (True, False, False, True, True, True), None)
+
+
+@query(f"SELECT k1, k2, k3, round(score, 6) + 0.0 AS score FROM ({sql.aligned3(TRIPLES_SQL, THREE_ASYMMETRIC)})")
+def nw3_score_no_close(spark, sf_dir):
+    return triples(spark, sf_dir).select("k1", "k2", "k3", rounded(align.nw3_score("seq1", "seq2", "seq3", THREE_ASYMMETRIC)).alias("score"))
+
+
+@query(f"SELECT k1, k2, k3, score, score AS rescored, seq1, seq2, seq3 FROM ({sql.aligned3(TRIPLES_SQL, THREE)})")
+def nw3_align_degapped(spark, sf_dir):
+    """The alignment's score, its rescored value, and its rows without gaps: score and inputs again."""
+    found = triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_align("seq1", "seq2", "seq3", THREE).alias("r"))
+    rows = [F.col(f"r.aligned{s}") for s in (1, 2, 3)]
+    return found.select("k1", "k2", "k3", "r.score", rescore.score_alignment_3d(*rows, THREE).alias("rescored"), *[dna.degap(r).alias(f"seq{s + 1}") for s, r in enumerate(rows)])
+
+
 @query()
 def nw3_align(spark, sf_dir):
     return triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_align("seq1", "seq2", "seq3", THREE).alias("r")).select("k1", "k2", "k3", "r.*")
 
 
+DIMER3 = AlignConfig(free=DIMER3_FREE)
+
+
+@query(f"SELECT k1, k2, k3, score FROM ({sql.aligned3(TRIPLES_SQL.replace('c.seq AS seq3', sql.reverse_complement('c.seq') + ' AS seq3'), DIMER3)})")
+def align_dimer_score(spark, sf_dir):
+    return align_dimer(spark, sf_dir).select("k1", "k2", "k3", "score")
+
+
 @query()
 def align_dimer(spark, sf_dir):
     return align.align_dimer(triples(spark, sf_dir), "seq1", "seq2", "seq3").select("k1", "k2", "k3", "dimer3.*")
@@ -264,6 +292,24 @@ def events_formatted(spark, sf_dir):
     return e.select("k1", "k2", "event_no", format_event(F.struct(*[c for c in e.columns if c not in ("k1", "k2", "event_no")])).alias("line"))
 
 
+_THREE_GAPPED_SQL = f"SELECT k1, k2, aligned1, aligned2, translate(aligned1, 'AC-', 'GT-') AS aligned3 FROM ({GAPPED_SQL})"
+
+
+def _three_gapped(spark, sf_dir):
+    return gapped(spark, sf_dir).withColumn("aligned3", F.translate("aligned1", "AC-", "GT-"))
+
+
+@query(sql.events3(_THREE_GAPPED_SQL, THREE))
+def events_by_type_3d(spark, sf_dir):
+    e = rescore.explain(_three_gapped(spark, sf_dir), rescore.score_events_3d("aligned1", "aligned2", "aligned3", THREE), ["k1", "k2"])
+    return e.groupBy("k1", "k2", "event").agg(F.count("*").alias("n"), F.sum("scaled_penalty").alias("total"))
+
+
+@query(f"SELECT k1, k2, sum(total) AS score FROM ({sql.events3(_THREE_GAPPED_SQL, THREE)}) GROUP BY k1, k2")
+def rescore_3d(spark, sf_dir):
+    return _three_gapped(spark, sf_dir).select("k1", "k2", rescore.score_alignment_3d("aligned1", "aligned2", "aligned3", THREE).alias("score"))
+
+
 @query()
 def score_events_3d(spark, sf_dir):
     found = triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_align("seq1", "seq2", "seq3", THREE).alias("r"))

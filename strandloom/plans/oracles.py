@@ -90,6 +90,70 @@ SELECT k1, k2, seq1, seq2, greatest(e0, e1, e2) AS score{extra}
 FROM (SELECT *, {ends} FROM dp WHERE d = n + m AND i = n)"""
 
 
+def aligned3(triples: str, config: AlignConfig) -> str:
+    """triples: SQL with columns k1, k2, k3, seq1, seq2, seq3 → these and score. A step is a plane i + j + k = d, a row a cell
+    (i, j) of it; h, g and f are the seven scores of the last three planes."""
+    first, close = config.costs
+    place, size = ("i", "j", "kk"), ("n", "m", "l")
+
+    def penalty(kind: int, prev: int) -> str:
+        parts = []
+        for s in range(3):
+            left, right = map(sql_bool, config.free[2 * s : 2 * s + 2])
+            if kind >> s & 1:
+                cost = config.gap_extend if prev >> s & 1 else first
+                parts.append(f"(CASE WHEN ({place[s]} = 0 AND {left}) OR ({place[s]} = {size[s]} AND {right}) THEN 0.0 ELSE {cost} END)")
+            elif prev >> s & 1:
+                parts.append(f"(CASE WHEN {place[s]} = 1 AND {left} THEN 0.0 ELSE {close} END)")
+        return " + ".join(parts) or "0.0"
+
+    source = {0: "fij", 1: "gj", 2: "gi", 3: "h", 4: "gij", 5: "hj", 6: "hi"}
+    subs = {(0, 1): "s12", (0, 2): "s13", (1, 2): "s23"}
+    kinds = []
+    for kind in range(7):
+        used = [s for s in range(3) if not kind >> s & 1]
+        valid = " AND ".join(["kk BETWEEN 0 AND l", *(f"{place[s]} > 0" for s in used)])
+        sub = " + ".join(v for k, v in subs.items() if k[0] in used and k[1] in used) or "0.0"
+        best = ", ".join(f"{source[kind]}[{prev + 1}] + {sub} + ({penalty(kind, prev)})" for prev in range(7))
+        kinds.append(f"CASE WHEN {valid} AND {source[kind]} IS NOT NULL THEN greatest({best}) ELSE {LOW} END")
+    letter = lambda s: f"substr(seq{s + 1}, {place[s]}, 1)"
+    scores = ", ".join(f"{substitution(config, letter(x), letter(y))} AS {name}" for (x, y), name in subs.items())
+    ends = ", ".join(f"h[{k + 1}] + " + (" + ".join(str(close) for s in range(3) if k >> s & 1 and not config.free[2 * s + 1]) or "0.0") for k in range(7))
+    none = "[" + ", ".join([LOW] * 7) + "]::DOUBLE[]"
+    return f"""
+WITH RECURSIVE sized AS (SELECT *, length(seq1)::INT AS n, length(seq2)::INT AS m, length(seq3)::INT AS l FROM ({triples})),
+dp AS (
+  SELECT k1, k2, k3, seq1, seq2, seq3, n, m, l, i, j, 0 AS d, CASE WHEN i = 0 AND j = 0 THEN [0.0, {", ".join([LOW] * 6)}]::DOUBLE[] ELSE {none} END AS h, {none} AS g, {none} AS f
+  FROM (SELECT *, unnest(range(0, m + 1))::INT AS j FROM (SELECT *, unnest(range(0, n + 1))::INT AS i FROM sized))
+  UNION ALL
+  SELECT k1, k2, k3, seq1, seq2, seq3, n, m, l, i, j, d, [{", ".join(kinds)}] AS h, h AS g, g AS f
+  FROM (SELECT *, {scores} FROM (
+    SELECT * EXCLUDE (d), d + 1 AS d, d + 1 - i - j AS kk, lag(h) OVER wj AS hj, lag(g) OVER wj AS gj, lag(h) OVER wi AS hi, lag(g) OVER wi AS gi, lag(g) OVER wd AS gij, lag(f) OVER wd AS fij
+    FROM dp WHERE d < n + m + l
+    WINDOW wj AS (PARTITION BY k1, k2, k3, i ORDER BY j), wi AS (PARTITION BY k1, k2, k3, j ORDER BY i), wd AS (PARTITION BY k1, k2, k3, i - j ORDER BY i)))
+)
+SELECT k1, k2, k3, seq1, seq2, seq3, greatest({ends}) AS score FROM dp WHERE d = n + m + l AND i = n AND j = m"""
+
+
+def events3(alignments: str, config: AlignConfig) -> str:
+    """alignments: SQL with k1, k2, aligned1, aligned2, aligned3 → k1, k2, event, n, total: score events of each kind."""
+    first, close = config.costs
+    parts = []
+    for x, y in ((1, 2), (1, 3), (2, 3)):
+        parts.append(f"SELECT k1, k2, CASE WHEN c{x} = c{y} THEN 'substitution_match' ELSE 'substitution_mismatch' END AS event, {substitution(config, f'c{x}', f'c{y}')} AS cost FROM c WHERE c{x} <> '-' AND c{y} <> '-'")
+    for s in (1, 2, 3):
+        left, right = map(sql_bool, config.free[2 * s - 2 : 2 * s])
+        parts.append(f"SELECT k1, k2, CASE WHEN b{s} = '-' THEN 'gap_extend_seq{s}' ELSE 'gap_open_seq{s}' END, CASE WHEN b{s} = '-' THEN {config.gap_extend} ELSE {first} END FROM c WHERE c{s} = '-' AND NOT ((p{s} = 0 AND {left}) OR (p{s} = n{s} AND {right}))")
+        if close:
+            parts.append(f"SELECT k1, k2, 'gap_close_seq{s}', {close} FROM c WHERE c{s} <> '-' AND b{s} = '-' AND NOT ({left} AND p{s} = 0)")
+            parts.append(f"SELECT k1, k2, 'gap_close_seq{s}', {close} FROM c WHERE k = size AND c{s} = '-' AND NOT {right}")
+    chars = ", ".join(f"substr(aligned{s}, k, 1) AS c{s}, CASE WHEN k > 1 THEN substr(aligned{s}, k - 1, 1) ELSE '' END AS b{s}, length(replace(substr(aligned{s}, 1, k - 1), '-', '')) AS p{s}, length(replace(aligned{s}, '-', '')) AS n{s}" for s in (1, 2, 3))
+    joined = " UNION ALL ".join(parts)
+    return f"""
+WITH c AS (SELECT k1, k2, k, length(aligned1) AS size, {chars} FROM (SELECT *, unnest(range(1, length(aligned1) + 1))::INT AS k FROM ({alignments})))
+SELECT k1, k2, event, count(*) AS n, sum(cost) AS total FROM ({joined}) GROUP BY ALL"""
+
+
 def events(alignments: str, config: AlignConfig, digits: int = 9) -> str:
     """alignments: SQL with k1, k2, aligned1, aligned2 → one row for each score event, columns as the engine names them."""
     first, close = config.costs
