@@ -33,7 +33,7 @@ from .common import materialise, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MEMO_WORDS = 500_000
+MEMO_WORDS = 800_000
 LONGEST_MEMO_WORD = 64
 TOGETHER = 512
 
@@ -44,21 +44,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Lower-casing such a text beforehand is what the tokenizer does itself; a text with others is left to it.
+#: Lower-casing a text without such characters beforehand is what the tokenizer does itself; a text with some is left to it.
 BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
-#: A full stop or comma between a letter and white space is a token of its own.
-CLOSED = re.compile("(?<=[a-zß-öø-ÿ])([.,])(?=[ \\n])")
 
 
-class WordMemo(dict):
-    """Word → its ids as little-endian 32-bit bytes. The tokenizer drops white space and never merges across it."""
+class WordMemo:
+    """Words → their ids as little-endian 32-bit bytes. The tokenizer drops white space and never merges across it."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.ends = dict(zip(".,", self.encode([".", ","]), strict=True))
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of words without spaces: many to a text, told apart by the tokens' places in it."""
@@ -72,20 +71,27 @@ class WordMemo(dict):
             out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def __missing__(self, word: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def learn(self, unseen: set[str]) -> None:
+        """A full stop or comma after a letter at a word's end is a token of its own, so such words follow from their stems."""
+        ended = [w for w in unseen if w[-1:] in self.ends and w[-2:-1].isalpha()]
+        whole = unseen.difference(ended)
+        whole.update(w[:-1] for w in ended)
+        todo = list(whole.difference(self.words))
+        self.words.update(zip(todo, self.encode(todo), strict=True))
+        for w in ended:
+            self.words[w] = self.words[w[:-1]] + self.ends[w[-1]]
 
     def documents(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            if not BEYOND_LATIN.search(text):
-                text = CLOSED.sub(r" \1", text.lower())
-            split.append(text.replace("\n", " ").split(" "))
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        unseen = [w for w in set().union(*split) if w not in self and len(w) <= LONGEST_MEMO_WORD]
-        self.update(zip(unseen, self.encode(unseen), strict=True))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        split = [(text if BEYOND_LATIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts]
+        if len(self.words) >= MEMO_WORDS:
+            self.words.clear()
+        unseen = set().union(*split).difference(self.words)
+        self.learn(unseen)
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for w in unseen:
+            if len(w) > LONGEST_MEMO_WORD:
+                del self.words[w]
+        return out
 
 
 @lru_cache(maxsize=4)
