@@ -44,7 +44,7 @@ FIRST = 129  # the lower seven bits of a byte, or none
 PAIRS = FIRST * SIDE  # a context: of the last two bytes, the first without its top bit; fits 16 bits
 START = PAIRS - 1  # before the first word
 CHUNK_TOKENS, CHUNK_WORDS = 4_500_000, 600_000
-BUCKET_BYTES = 24_000_000  # of text for each bucket of words
+BUCKET_BYTES = 12_000_000  # of text for each bucket of words
 
 
 def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
@@ -393,7 +393,7 @@ def answer(asked: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame, held_out, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row; the model learns from the others."""
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
-    buckets = max(16, -(-size // BUCKET_BYTES))
+    buckets = max(4, -(-size // BUCKET_BYTES))
     rows = materialise(chunked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")), buckets), "chunks")
     asked = rows.filter("kind = 1")
     vocabulary = materialise(vocabulary_of(asked), "vocabulary")
