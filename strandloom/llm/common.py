@@ -16,12 +16,7 @@ _MADE: list[str] = []
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = LOCAL_SCRATCH
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
