@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-LEAF, FAN = 48, 24
+DATA_LEAF, QUERY_LEAF, FAN = 192, 64, 24  # groups of queries are small, so that their radii are; data leaves fill a matrix product
 
 
 class Tree:
     """Nodes of a cover tree over the rows of `points`, which are reordered so that each node has a slice of them."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = QUERY_LEAF):
+        leaf = max(8, min(leaf, len(ids) // 16))  # few rows still make groups
         order = np.arange(len(ids))
         self.low: list[int] = []
         self.high: list[int] = []
@@ -55,7 +56,7 @@ class Tree:
             self.children.append([])
             if parent >= 0:
                 self.children[parent].append(node)
-            if b - a <= LEAF or self.radius[-1] == 0:
+            if b - a <= leaf or self.radius[-1] == 0:
                 continue
             nearest, to = distance.copy(), np.zeros(b - a, np.int64)
             centres = [centre]
@@ -138,14 +139,14 @@ def search(queries: Tree, data: Tree, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(ids == np.iinfo(np.int64).max, -1, ids), scores
 
 
-def _build(rows: DataFrame, block_rows: int) -> DataFrame:
+def _build(rows: DataFrame, block_rows: int, leaf: int) -> DataFrame:
     """part, dim, tree (pickled): one row for each block, its size fixed by block_rows."""
     n = rows.count()
     blocks = max(1, -(-n // block_rows))
 
     def run(table: pa.Table) -> pa.Table:
         points = np.stack([np.array(x, np.int64) for x in table.column("v").to_pylist()])
-        tree = Tree(table.column("id").to_numpy(), points)
+        tree = Tree(table.column("id").to_numpy(), points, leaf)
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "dim": pa.array([points.shape[1]], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", "salt"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v")).drop("salt")
@@ -158,8 +159,8 @@ def top_k(rows: DataFrame, is_query: Column, *, k: int = 5, scale: float = 256.0
     vectors = rows.filter(F.col(vec_id).isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite))
     whole = vectors.select(F.col(vec_id).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))).cast("array<long>").alias("v"), is_query.alias("is_query"))
     whole = whole.withColumn("salt", F.monotonically_increasing_id())  # rows that repeat an id may lie in different blocks
-    data = _build(whole.select("id", "v", "salt"), data_rows).select("dim", "part", "tree")
-    queries = _build(whole.filter("is_query").select("id", "v", "salt"), query_rows).select("dim", F.col("part").alias("query_part"), F.col("tree").alias("query_tree"))
+    data = _build(whole.select("id", "v", "salt"), data_rows, DATA_LEAF).select("dim", "part", "tree")
+    queries = _build(whole.filter("is_query").select("id", "v", "salt"), query_rows, QUERY_LEAF).select("dim", F.col("part").alias("query_part"), F.col("tree").alias("query_tree"))
     data, queries = materialise(data, "trees"), materialise(queries, "trees")
     pairs = data.join(queries, "dim").withColumn("order", F.xxhash64("part", "query_part")).repartition("order").select("query_tree", "tree")
 
