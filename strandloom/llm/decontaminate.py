@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
 Texts become templates: capitalised words within a sentence are names, tokens that begin with a digit are numbers, and
-a fixed list of words are units; each gives way to a typed placeholder, the rest is lower-cased and freed of
-punctuation. Windows of `window` template tokens are hash-joined with those of the benchmark; a window that is all
+a fixed list of words and the signs of percent and money are units; each gives way to a typed placeholder, the rest is
+lower-cased and freed of punctuation. Signs are tokens of their own ('$4' is a unit and a number). A capitalised word
+elsewhere (it begins a sentence, say) has two readings, as the word and as a name; its windows are there in both. Windows of `window` template tokens are hash-joined with those of the benchmark; a window that is all
 placeholders but one says nothing and is left out. Matches are grouped by document, item and diagonal (the
 difference of positions): on a diagonal every slot value of the item must stand for one value in the document, else
-the agreement is by chance and the diagonal is dropped. A document leaks an item if it has `threshold` or more of the
+the agreement is by chance and the diagonal is dropped (down to the reading without such names, if that one agrees;
+where both texts begin a sentence with the same word, it is no slot). A document leaks an item if it has `threshold` or more of the
 item's windows on consistent diagonals. Copies with other numbers, names or units are caught as well as literal ones.
 
 Templates are made only for documents that have one of the benchmark's key words (see _key_words); all others can't
@@ -28,30 +30,40 @@ UNITS = (
     "liter liters litre litres gallon gallons s sec min h hr hrs second seconds minute minutes hour hours day days week "
     "weeks month months year years mph kmh percent % $ € £ ¢ dollar dollars euro euros cent cents"
 ).split()
-MARK = "\x01"
+MARK, MAYBE = "\x01", "\x02"  # before a name, before what may be one
 BROADCAST_WINDOWS = 500_000
 KEY_WORDS = 20_000
 
 
 def _marked(text: Column) -> Column:
-    """Tokens with one space between, names marked; number, name and unit tokens still have their values."""
-    text = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
-    names = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", MARK)
-    plain = F.regexp_replace(F.lower(names), rf"[^\p{{L}}\p{{N}}{MARK}%$€£¢]+", " ")
+    """Tokens with one space between, names and possible names marked; number, name and unit tokens still have their values."""
+    text = F.translate(F.coalesce(text, F.lit("")), MARK + MAYBE, "  ")
+    names = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;] )", MARK)
+    names = F.regexp_replace(names, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}{MARK}])", MAYBE)
+    signs = F.regexp_replace(F.lower(names), r"([%$€£¢])", " $1 ")
+    plain = F.regexp_replace(signs, rf"[^\p{{L}}\p{{N}}{MARK}{MAYBE}%$€£¢]+", " ")
     return F.trim(plain)
 
 
 def _template(marked: Column) -> Column:
+    """Possible names stay marked."""
     named = F.regexp_replace(marked, rf"{MARK}[^ ]+", "<name>")
     numbered = F.regexp_replace(named, r"(?<![^ ])\p{N}[^ ]*", "<num>")
     units = "|".join(f"\\{u}" if len(u) == 1 and not u.isalpha() else u for u in UNITS)
-    return F.regexp_replace(numbered, rf"(?<![^ ])(?:{units})(?![^ ])", "<unit>")
+    return F.regexp_replace(numbered, rf"(?<![^ ])({MAYBE}?)(?:{units})(?![^ ])", "$1<unit>")
 
 
 def _windows(template: Column, window: int) -> Column:
     return F.regexp_extract_all(template, F.lit(rf"(?<![^ ])(?=((?:[^ ]+ ){{{window - 1}}}[^ ]+))"), F.lit(1))
 
 
+def _readings(window: Column) -> Column:
+    """(window, plain): possible names as words, and if there are any, as names, which isn't plain."""
+    read = lambda w, plain: F.struct(w.alias("window"), F.lit(plain).alias("plain"))
+    named = F.regexp_replace(window, rf"{MAYBE}[^ ]+", "<name>")
+    return F.when(window.contains(MAYBE), F.array(read(F.translate(window, MAYBE, ""), True), read(named, False))).otherwise(F.array(read(window, True)))
+
+
 def _telling(windowed: Column, window: int) -> Column:
     """At least two tokens are words."""
     return F.regexp_count(windowed, F.lit(r"<(?:name|num|unit)>")) <= window - 2
@@ -61,10 +73,10 @@ def _key_words(items: DataFrame, threshold: float, most: int) -> list[str] | Non
     """Words of which every leaking document has one, or None if there is no such list of at most `most` words.
 
     A leak lacks at most a 1 - threshold part of an item's windows, so it has one of any larger part: of the windows
-    with the longest words, whose longest words these are."""
+    with the longest words, whose longest words these are. Of two readings of a window, the one with fewer words counts."""
     words = F.filter(F.split("window", " "), lambda w: w.rlike(r"^\p{L}+$"))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))
-    sized = items.select("item_id", "item_key", "item_pos", longest.alias("k"))
+    sized = items.groupBy("item_id", "item_key", "item_pos").agg(F.min_by("window", F.size(words)).alias("window")).select("item_id", "item_key", "item_pos", longest.alias("k"))
     item = Window.partitionBy("item_id", "item_key")
     ranked = sized.select("k", F.row_number().over(item.orderBy(F.col("k.size").desc_nulls_last(), "k.word", "item_pos")).alias("r"), F.count("*").over(item).alias("n"))
     needed = ranked.filter(F.col("r") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
@@ -75,16 +87,18 @@ def _key_words(items: DataFrame, threshold: float, most: int) -> list[str] | Non
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """doc_id, text_key (a hash of the text), item_id, n_matched, n_windows, containment, reworded (a slot differs)."""
     items = benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.xxhash64(item_text).alias("item_key"), _marked(F.col(item_text)).alias("marked"))
-    items = items.select("item_id", "item_key", F.split("marked", " ").alias("raw"), F.posexplode(_windows(_template(F.col("marked")), window)).alias("item_pos", "window")).filter(_telling(F.col("window"), window))
-    items = items.select("item_id", "item_key", "item_pos", "window", F.xxhash64("window").alias("h"), F.slice("raw", F.col("item_pos") + 1, window).alias("item_values")).distinct()
-    sizes = items.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))
+    items = items.select("item_id", "item_key", F.split("marked", " ").alias("raw"), F.posexplode(_windows(_template(F.col("marked")), window)).alias("item_pos", "both"))
+    items = items.withColumn("r", F.explode(_readings(F.col("both")))).select("item_id", "item_key", "raw", "item_pos", "r.window", F.col("r.plain").alias("item_plain")).filter(_telling(F.col("window"), window))
+    items = items.select("item_id", "item_key", "item_pos", "window", "item_plain", F.xxhash64("window").alias("h"), F.slice("raw", F.col("item_pos") + 1, window).alias("item_values")).distinct()
+    sizes = items.groupBy("item_id", "item_key").agg(F.countDistinct("item_pos").alias("n_windows"))
 
     keys = _key_words(items, threshold, KEY_WORDS)
     if keys is not None:  # most documents have no such word and need no template
         words = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
         docs = docs.filter(F.exists(words, lambda w: w.isin(keys)) if keys else F.lit(False))
     read = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), _marked(F.col(text)).alias("marked"))
-    flat = read.select("doc_id", "text_key", "marked", F.posexplode(_windows(_template(F.col("marked")), window)).alias("pos", "found")).withColumn("h", F.xxhash64("found"))
+    flat = read.select("doc_id", "text_key", "marked", F.posexplode(_windows(_template(F.col("marked")), window)).alias("pos", "both")).withColumn("r", F.explode(_readings(F.col("both"))))
+    flat = flat.select("doc_id", "text_key", "marked", "pos", F.col("r.window").alias("found"), "r.plain", F.xxhash64("r.window").alias("h"))
     own = F.slice(F.split("marked", " "), F.col("pos") + 1, window)
     if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:  # the benchmark is small: it goes to the texts
         joined = flat.join(F.broadcast(items), "h").filter("found = window").withColumn("values", own)
@@ -93,11 +107,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, thresh
     slots = F.filter(
         F.arrays_zip(F.split("window", " ").alias("kind"), F.col("item_values").alias("x"), F.col("values").alias("y")), lambda z: z["kind"].isin("<name>", "<num>", "<unit>")
     )
-    matched = joined.select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.transform(slots, lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"))).alias("slots"))
+    slots = F.filter(slots, lambda z: ~(z["x"].startswith(MAYBE) & (z["x"] == z["y"])))
+    value = lambda v: F.translate(v, MAYBE, MARK)
+    pairs = F.transform(slots, lambda z: F.struct(value(z["x"]).alias("x"), value(z["y"]).alias("y")))
+    matched = joined.select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), (F.col("plain") & F.col("item_plain")).alias("plain"), pairs.alias("slots"))
     keys = ["doc_id", "text_key", "item_id", "item_key"]
-    pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
-    aligned = matched.groupBy(*keys, "diagonal").agg(F.collect_set("item_pos").alias("places"), pairs.alias("pairs"))  # at most an item's windows each
-    sound = aligned.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"]))))
+
+    def agreed(rows: Column) -> Column:
+        """Places and slot pairs of one diagonal's windows."""
+        return F.struct(F.collect_set(F.when(rows, F.col("item_pos"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.when(rows, F.col("slots"))))).alias("pairs"))
+
+    aligned = matched.groupBy(*keys, "diagonal").agg(agreed(F.lit(True)).alias("all"), agreed(F.col("plain")).alias("own"))  # at most an item's windows each
+    one_value = lambda a: F.size(a["pairs"]) == F.size(F.array_distinct(F.transform(a["pairs"], lambda p: p["x"])))
+    sound = aligned.select(*keys, F.when(one_value(F.col("all")), F.col("all")).when(one_value(F.col("own")), F.col("own")).alias("a")).filter("a is not null").select(*keys, "a.*")
     changed = F.exists("pairs", lambda p: p["x"] != p["y"])
     places = sound.select(*keys, changed.alias("changed"), F.explode("places").alias("place")).groupBy(*keys, "place").agg(F.bool_and("changed").alias("changed"))
     found = places.groupBy(*keys).agg(F.count("*").alias("n_matched"), F.bool_or("changed").alias("reworded")).join(sizes, ["item_id", "item_key"])

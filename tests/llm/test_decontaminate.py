@@ -124,3 +124,21 @@ def test_finds_the_planted_passages(spark, sf_dir):
     planted = {(i, r.item_id) for r in items.collect() for i, t in texts if r.text.lower() in (t or "").lower()}
     found = {(r.doc_id, r.item_id) for r in d.find_leaks(docs, items).collect()}
     assert planted and planted <= found
+
+
+def test_signs_and_names_at_sentence_starts(spark):
+    shop = "Tom has $4 and buys pens at 20¢ each. Anna gives him €9 more. How many pens does the boy buy in the little shop near the old bridge if he keeps half of it"
+    other = shop.replace("Tom", "Paul").replace("Anna", "Maria").replace("$4", "$8").replace("20¢", "35¢").replace("€9", "€7")
+    mixed = f"it was said that {other[0].lower()}{other[1:]}"
+    twice = "The child plays in the green garden. The child sings a song about little birds. The child sleeps in a big bed near an open window until morning comes again"
+    same = twice.replace("The child plays", "One child plays")
+    docs = cases.table(spark, [(0, shop, "en", "s"), (1, other, "en", "s"), (2, mixed, "en", "s"), (3, same, "en", "s"), (4, other.replace("pens", "nails"), "en", "s")])
+    got = {(r.doc_id, r.item_id): r for r in d.find_leaks(docs, benchmark(spark, [(0, shop), (1, twice)])).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1)}
+    assert got[1, 0].containment == 1 and got[1, 0].reworded and not got[0, 0].reworded
+
+
+def test_a_name_stands_for_one_value(spark):
+    item = "Tom walks to the market with a basket. Tom buys bread for the family and walks home. Tom eats the bread with butter"
+    docs = cases.table(spark, [(0, item.replace("Tom", "Anna"), "en", "s"), (1, "Anna".join(item.split("Tom", 2)[:2]) + "Paul" + item.split("Tom", 2)[2].replace("Tom", "Eva"), "en", "s")])
+    assert [r.doc_id for r in d.find_leaks(docs, benchmark(spark, [(0, item)])).collect()] == [0]
