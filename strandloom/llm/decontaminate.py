@@ -8,13 +8,16 @@ placeholders but one says nothing and is left out. Matches are grouped by docume
 difference of positions): on a diagonal every slot value of the item must stand for one value in the document, else
 the agreement is by chance and the diagonal is dropped (down to the reading without such names, if that one agrees;
 where both texts begin a sentence with the same word, it is no slot). A document leaks an item if it has `threshold` or more of the
-item's windows on consistent diagonals. Copies with other numbers, names or units are caught as well as literal ones.
+item's windows on consistent diagonals, or, with `run`, if any part of a diagonal that is `run` tokens long matches
+without a gap and is consistent in itself (it begins and ends with a telling window), whatever part of the item it is:
+items of which a text quotes a part, or that the end of a text cuts off, are leaks. find_leaks does without `run`
+unless told; op2 and the pipeline take RUN. Items with fewer tokens than a window, and two words or more, are windows of their own length. Copies with other numbers, names or units are caught as well as literal ones.
 
 Templates are made only for documents that have one of the benchmark's key words (see _key_words); all others can't
-leak enough of any item.
+leak enough of any item by either rule.
 
-Defined results: null and empty texts have no window and are clean; items with a null id, with fewer words than a window, or
-without a telling window match nothing; rows that repeat an id are judged by their own text; null ids are reported as null;
+Defined results: null and empty texts have no window and are clean; items with a null id or
+without a telling window (two words, the rest placeholders) match nothing; rows that repeat an id are judged by their own text; null ids are reported as null;
 an empty table on either side gives no leak; other columns take no part, whatever their names.
 """
 
@@ -33,6 +36,7 @@ UNITS = (
 MARK, MAYBE = "\x01", "\x02"  # before a name, before what may be one
 BROADCAST_WINDOWS = 500_000
 KEY_WORDS = 20_000
+RUN = 13  # tokens: a part of an item that counts as a leak
 
 
 def _marked(text: Column) -> Column:
@@ -64,42 +68,55 @@ def _readings(window: Column) -> Column:
     return F.when(window.contains(MAYBE), F.array(read(F.translate(window, MAYBE, ""), True), read(named, False))).otherwise(F.array(read(window, True)))
 
 
-def _telling(windowed: Column, window: int) -> Column:
+def _telling(windowed: Column) -> Column:
     """At least two tokens are words."""
-    return F.regexp_count(windowed, F.lit(r"<(?:name|num|unit)>")) <= window - 2
+    return F.regexp_count(windowed, F.lit(r"<(?:name|num|unit)>")) <= F.size(F.split(windowed, " ")) - 2
 
 
-def _key_words(items: DataFrame, threshold: float, most: int) -> list[str] | None:
+def _key_words(items: DataFrame, window: int, threshold: float, run: int | None, most: int) -> list[str] | None:
     """Words of which every leaking document has one, or None if there is no such list of at most `most` words.
 
     A leak lacks at most a 1 - threshold part of an item's windows, so it has one of any larger part: of the windows
-    with the longest words, whose longest words these are. Of two readings of a window, the one with fewer words counts."""
+    with the longest words, whose longest words these are. Of two readings of a window, the one with fewer words counts.
+    A leak by `run` has all windows of some stretch, so it has the longest word of all windows there."""
     words = F.filter(F.split("window", " "), lambda w: w.rlike(r"^\p{L}+$"))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))
     sized = items.groupBy("item_id", "item_key", "item_pos").agg(F.min_by("window", F.size(words)).alias("window")).select("item_id", "item_key", "item_pos", longest.alias("k"))
     item = Window.partitionBy("item_id", "item_key")
     ranked = sized.select("k", F.row_number().over(item.orderBy(F.col("k.size").desc_nulls_last(), "k.word", "item_pos")).alias("r"), F.count("*").over(item).alias("n"))
-    needed = ranked.filter(F.col("r") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
-    found = [r["word"] for r in needed.select("k.word").distinct().limit(most + 1).collect()]
+    needed = ranked.filter(F.col("r") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("k.word")
+    if run is not None:
+        stretch = item.orderBy("item_pos").rangeBetween(0, run - window)
+        ends = sized.select(F.max("k").over(stretch).alias("k"), (F.max("item_pos").over(stretch) - F.col("item_pos")).alias("long"))
+        needed = needed.unionByName(ends.filter(F.col("long") == run - window).select("k.word"))
+    found = [r["word"] for r in needed.distinct().limit(most + 1).collect()]
     return None if len(found) > most or None in found else found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """doc_id, text_key (a hash of the text), item_id, n_matched, n_windows, containment, reworded (a slot differs)."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, threshold: float = 0.8, run: int | None = None, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """doc_id, text_key (a hash of the text), item_id, n_matched, n_windows, containment, reworded (a slot differs). run: tokens, at least a window."""
     items = benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.xxhash64(item_text).alias("item_key"), _marked(F.col(item_text)).alias("marked"))
-    items = items.select("item_id", "item_key", F.split("marked", " ").alias("raw"), F.posexplode(_windows(_template(F.col("marked")), window)).alias("item_pos", "both"))
-    items = items.withColumn("r", F.explode(_readings(F.col("both")))).select("item_id", "item_key", "raw", "item_pos", "r.window", F.col("r.plain").alias("item_plain")).filter(_telling(F.col("window"), window))
-    items = items.select("item_id", "item_key", "item_pos", "window", "item_plain", F.xxhash64("window").alias("h"), F.slice("raw", F.col("item_pos") + 1, window).alias("item_values")).distinct()
+    raw = F.split("marked", " ")
+    short = [r["n"] for r in items.select(F.size(raw).alias("n")).filter((F.col("n") > 1) & (F.col("n") < window)).distinct().collect()]  # a few numbers below `window`
+    wide = lambda n: F.when(F.size(raw) == n, _windows(_template(F.col("marked")), n)).otherwise(F.array().cast("array<string>"))
+    items = items.select("item_id", "item_key", raw.alias("raw"), F.posexplode(F.concat(_windows(_template(F.col("marked")), window), *map(wide, short))).alias("item_pos", "both"))
+    items = items.withColumn("r", F.explode(_readings(F.col("both")))).select("item_id", "item_key", "raw", "item_pos", "r.window", F.col("r.plain").alias("item_plain")).filter(_telling(F.col("window")))
+    items = items.select("item_id", "item_key", "item_pos", "window", "item_plain", F.xxhash64("window").alias("h"), F.slice("raw", F.col("item_pos") + 1, F.size(F.split("window", " "))).alias("item_values")).distinct()
     sizes = items.groupBy("item_id", "item_key").agg(F.countDistinct("item_pos").alias("n_windows"))
 
-    keys = _key_words(items, threshold, KEY_WORDS)
+    keys = _key_words(items, window, threshold, run, KEY_WORDS)
     if keys is not None:  # most documents have no such word and need no template
         words = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
         docs = docs.filter(F.exists(words, lambda w: w.isin(keys)) if keys else F.lit(False))
     read = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), _marked(F.col(text)).alias("marked"))
-    flat = read.select("doc_id", "text_key", "marked", F.posexplode(_windows(_template(F.col("marked")), window)).alias("pos", "both")).withColumn("r", F.explode(_readings(F.col("both"))))
-    flat = flat.select("doc_id", "text_key", "marked", "pos", F.col("r.window").alias("found"), "r.plain", F.xxhash64("r.window").alias("h"))
-    own = F.slice(F.split("marked", " "), F.col("pos") + 1, window)
+    template = _template(F.col("marked"))
+    if short:
+        at = F.flatten(F.array(*[F.transform(_windows(template, n), lambda w, k: F.struct(k.alias("pos"), w.alias("both"))) for n in (window, *short)]))
+        flat = read.select("doc_id", "text_key", "marked", F.inline(at))
+    else:
+        flat = read.select("doc_id", "text_key", "marked", F.posexplode(_windows(template, window)).alias("pos", "both"))
+    flat = flat.withColumn("r", F.explode(_readings(F.col("both")))).select("doc_id", "text_key", "marked", "pos", F.col("r.window").alias("found"), "r.plain", F.xxhash64("r.window").alias("h"))
+    own = F.slice(F.split("marked", " "), F.col("pos") + 1, F.size(F.split("found", " ")))
     if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:  # the benchmark is small: it goes to the texts
         joined = flat.join(F.broadcast(items), "h").filter("found = window").withColumn("values", own)
     else:
@@ -117,19 +134,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, thresh
         """Places and slot pairs of one diagonal's windows."""
         return F.struct(F.collect_set(F.when(rows, F.col("item_pos"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.when(rows, F.col("slots"))))).alias("pairs"))
 
-    aligned = matched.groupBy(*keys, "diagonal").agg(agreed(F.lit(True)).alias("all"), agreed(F.col("plain")).alias("own"))  # at most an item's windows each
     one_value = lambda a: F.size(a["pairs"]) == F.size(F.array_distinct(F.transform(a["pairs"], lambda p: p["x"])))
-    sound = aligned.select(*keys, F.when(one_value(F.col("all")), F.col("all")).when(one_value(F.col("own")), F.col("own")).alias("a")).filter("a is not null").select(*keys, "a.*")
+    aligned = matched.groupBy(*keys, "diagonal").agg(agreed(F.lit(True)).alias("all"), agreed(F.col("plain")).alias("own"))  # at most an item's windows each
+    sound = aligned.select(*keys, F.when(one_value(F.col("all")), F.col("all")).when(one_value(F.col("own")), F.col("own")).alias("a"), F.lit(False).alias("whole"))
+    if run is not None:  # stretches of `run` tokens from each place
+        ahead = Window.partitionBy(*keys, "diagonal").orderBy("item_pos").rangeBetween(0, run - window)
+        near = matched.select(*keys, "item_pos", *[F.struct(F.collect_set(F.when(r, F.col("item_pos"))).over(ahead).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.when(r, F.col("slots"))).over(ahead))).alias("pairs")).alias(name) for name, r in (("all", F.lit(True)), ("own", F.col("plain")))])
+
+        def full(a: Column) -> Column:
+            """The windows overlap or touch from the first token to the last, and agree."""
+            reach = lambda to, at: F.when(at <= to, at + window).otherwise(to)
+            return (F.aggregate(F.array_sort(a["places"]), F.col("item_pos"), reach) >= F.col("item_pos") + run) & one_value(a)
+
+        stretches = near.select(*keys, F.when(full(F.col("all")), F.col("all")).when(full(F.col("own")), F.col("own")).alias("a"), F.lit(True).alias("whole"))
+        sound = sound.unionByName(stretches)
+    sound = sound.filter("a is not null").select(*keys, "whole", "a.*")
     changed = F.exists("pairs", lambda p: p["x"] != p["y"])
-    places = sound.select(*keys, changed.alias("changed"), F.explode("places").alias("place")).groupBy(*keys, "place").agg(F.bool_and("changed").alias("changed"))
-    found = places.groupBy(*keys).agg(F.count("*").alias("n_matched"), F.bool_or("changed").alias("reworded")).join(sizes, ["item_id", "item_key"])
-    found = found.withColumn("containment", F.col("n_matched") / F.col("n_windows")).filter(F.col("containment") >= threshold)
+    places = sound.select(*keys, "whole", changed.alias("changed"), F.explode("places").alias("place")).groupBy(*keys, "place").agg(F.bool_and("changed").alias("changed"), F.bool_or("whole").alias("whole"))
+    found = places.groupBy(*keys).agg(F.count("*").alias("n_matched"), F.bool_or("changed").alias("reworded"), F.bool_or("whole").alias("whole")).join(sizes, ["item_id", "item_key"])
+    found = found.withColumn("containment", F.col("n_matched") / F.col("n_windows")).filter((F.col("containment") >= threshold) | F.col("whole"))
     return found.select("doc_id", "text_key", "item_id", "n_matched", "n_windows", "containment", "reworded")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", run: int | None = RUN, **how) -> DataFrame:
     """The rows of docs that leak no item, all columns."""
-    leaks = find_leaks(docs, benchmark, text=text, doc_id=doc_id, **how).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+    leaks = find_leaks(docs, benchmark, text=text, doc_id=doc_id, run=run, **how).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     own = F.col("row")
     same = own.getField(doc_id).eqNullSafe(F.col("leak_id")) & (F.xxhash64(own.getField(text)) == F.col("leak_key"))

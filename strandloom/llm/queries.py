@@ -48,9 +48,9 @@ def op8_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each leak."""
-    from .decontaminate import find_leaks
+    from .decontaminate import RUN, find_leaks
 
-    leaks = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    leaks = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), run=RUN)
     return leaks.select("doc_id", "item_id", "n_matched", "n_windows", "containment", "reworded")
 
 

@@ -142,3 +142,19 @@ def test_a_name_stands_for_one_value(spark):
     item = "Tom walks to the market with a basket. Tom buys bread for the family and walks home. Tom eats the bread with butter"
     docs = cases.table(spark, [(0, item.replace("Tom", "Anna"), "en", "s"), (1, "Anna".join(item.split("Tom", 2)[:2]) + "Paul" + item.split("Tom", 2)[2].replace("Tom", "Eva"), "en", "s")])
     assert [r.doc_id for r in d.find_leaks(docs, benchmark(spark, [(0, item)])).collect()] == [0]
+
+
+def test_parts_and_short_items(spark):
+    words = cases.words(__import__("random").Random(3), 60, [f"{a}{b}{c}o" for a in "bdfgkl" for b in "aeiou" for c in "mnprst"])
+    long, plain = " ".join(words), "the quick fox"
+    texts = [" ".join(words[10:50]) + " and other things", "it ends so " + " ".join(words[:13]), " ".join(words[:12]) + " no more", "a text with the quick fox, in it", "the quick and the fox", f"x {' '.join(words[:20])} 5 {' '.join(words[21:30])}"]
+    docs = cases.table(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    items = benchmark(spark, [(0, long), (1, plain)])
+    assert {(r.doc_id, r.item_id) for r in d.find_leaks(docs, items, run=d.RUN).collect()} == {(0, 0), (1, 0), (5, 0), (3, 1)}
+    assert sorted(r.doc_id for r in d.decontaminate(docs, items).collect()) == [2, 4]
+
+
+def test_a_stretch_agrees_in_itself(spark):
+    item = "we count 5 apples in the basket and put them on the old table near the door then take 5 apples home again"
+    docs = cases.table(spark, [(0, item.replace("count 5", "count 7"), "en", "s")])
+    assert [r.doc_id for r in d.find_leaks(docs, benchmark(spark, [(0, item)]), run=d.RUN).collect()] == [0]
