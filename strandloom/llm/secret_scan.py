@@ -28,6 +28,12 @@ GENERIC = (
     r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_-]*[0-9][A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])"
     r"[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_.=-])"
 )
+#: For redaction also runs after '=', before a full stop that ends a sentence, with '=' padding, and three dotted parts (JWT).
+#: A dot within a run is still no border: parts of addresses and file names aren't candidates.
+BARE = (
+    r"(?<![A-Za-z0-9+/_-])(?<![A-Za-z0-9+/_=-]\.)(?:eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}|"
+    r"(?=[A-Za-z+/_-]*[0-9][A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9+/_=-])"
+)
 SPAN = "array<struct<start:int,kind:int,end:int,hash:string>>"
 
 
@@ -50,11 +56,11 @@ def _located(text: Column, pattern: str, kind: int, value_group: int, least: int
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
-def candidate_spans(text: Column) -> Column:
+def candidate_spans(text: Column, generic: str = GENERIC) -> Column:
     """All candidate spans of a text, in code points, sorted by start and kind."""
     text = F.coalesce(text, F.lit(""))
     base = F.concat(_located(text, ASSIGN, 0, 2, 6), _located(text, ACCESS, 1, 0, 20), _located(text, HEX, 2, 0, 24))
-    apart = F.filter(_located(text, GENERIC, 3, 0, 20), lambda g: ~F.exists(base, lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
+    apart = F.filter(_located(text, generic, 3, 0, 20), lambda g: ~F.exists(base, lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
     return F.array_sort(F.concat(base, apart))
 
 
@@ -67,14 +73,14 @@ def ownership(candidates: DataFrame, min_owners: int) -> DataFrame:
     )
 
 
-def scan_secrets(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: str = "doc_id", min_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: str = "doc_id", min_owners: int = 3, generic: str = GENERIC) -> DataFrame:
     """`row` (the input row as a struct) and `spans`: array of (start, kind, end, example), kind an index of KINDS.
 
     Generic spans are kept only if live. Texts never move: rows without a candidate leave straight from the scan,
     the few with one are written to the shared folder once, and only their spans are joined with the ownership counts.
     """
     name = lambda c: F.col("row").getField(c)
-    scanned = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("found", candidate_spans(name(text)))
+    scanned = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("found", candidate_spans(name(text), generic))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean>>")
     clean = scanned.filter(F.size("found") == 0).select("row", none.alias("spans"))
     hit = materialise(scanned.filter(F.size("found") > 0).withColumn("rid", F.monotonically_increasing_id()), "secret-candidates")
@@ -113,9 +119,9 @@ def secret_digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, *, text: str = "text", live: str = "<SECRET>", example: str = "<EXAMPLE>", **how) -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", live: str = "<SECRET>", example: str = "<EXAMPLE>", generic: str = BARE, **how) -> DataFrame:
     """The input's columns, each run of overlapping spans replaced: by `live` if any span in it is live, else by `example`."""
-    scanned = scan_secrets(docs, text=text, **how)
+    scanned = scan_secrets(docs, text=text, generic=generic, **how)
     row, body = F.col("row"), F.coalesce(F.col("row").getField(text), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit("").alias("mark"))
 

@@ -97,3 +97,10 @@ def test_plan_is_native(spark, sf_dir):
 def test_long_texts(spark, text):
     got = secret_scan.secret_digest(secret_scan.scan_secrets(cases.table(spark, [(1, text, "en", "s")]))).first()
     assert got.n_assign == text.count("password")
+
+
+def test_bare_credentials_at_borders(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92K27uhbUJU1p1r"
+    texts = ["GH_PAT=ghp_a1B2c3D4e5F6g7H8i9J0", "see /x?auth=ghp_k1B2c3D4e5F6g7H8i9J0 now", "it is ghp_z1B2c3D4e5F6g7H8i9J0. Then", "a YWJjZDEyMzQ1Njc4OTBhYmNkZWY== b", f"a {jwt} b", "at www.example.com/2024/11/some-long-page.html"]
+    got = {r.doc_id: r.text for r in secret_scan.redact(cases.table(spark, [(k, t, "en", f"s{k}") for k, t in enumerate(texts)])).collect()}
+    assert [got[k] for k in range(6)] == ["GH_PAT=<SECRET>", "see /x?auth=<SECRET> now", "it is <SECRET>. Then", "a <SECRET> b", "a <SECRET> b", texts[5]]
