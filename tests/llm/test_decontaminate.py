@@ -92,9 +92,46 @@ def test_against_plain_containment(spark):
 def test_without_key_words_or_broadcast(spark, monkeypatch):
     docs, items = cases.table(spark, rows()), benchmark(spark)
     want = sorted(map(str, d.find_leaks(docs, items).collect()))
-    monkeypatch.setattr(d, "KEY_WORDS", 1)
-    monkeypatch.setattr(d, "BROADCAST_WINDOWS", 1)
+    monkeypatch.setattr(d, "KEYS", 1)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(d, "BROADCAST_LEAKS", 0)
     assert sorted(map(str, d.find_leaks(docs, items).collect())) == want
+    assert sorted(str(r.doc_id) for r in d.decontaminate(docs, items).collect()) == sorted(map(str, [2, 3, 4, 5, 7, 8, 11]))
+
+
+def test_keys_lose_no_leak(spark, monkeypatch):
+    """With and without the choice of documents by keys: names, numbers and punctuation between the words of keys."""
+    rng = __import__("random").Random(11)
+    pool = cases.pool(rng, "bcdfgaeiou", 60)
+    noisy = lambda w: rng.choice([w, w, w, w.capitalize(), w + ",", w + ".", f"{rng.randint(1, 99)}", f"3.{rng.randint(1, 9)} km", f"{w} New York"])
+    items = [(k, " ".join(noisy(w) for w in cases.words(rng, rng.randint(2, 40), pool))) for k in range(25)]
+    texts = []
+    for k in range(150):
+        words = items[k % 25][1].split(" ")
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words[rng.randrange(len(words))] = rng.choice(["9", "Bertha", "zzz", "7.5"])
+        a = rng.randint(0, max(0, len(words) // 2))
+        texts.append((k, " ".join(cases.words(rng, 20, pool) + words[a:] + cases.words(rng, 20, pool)), "en", "s"))
+    docs, items = cases.table(spark, texts), benchmark(spark, items)
+    want = sorted(map(str, d.find_leaks(docs, items, run=d.RUN).collect()))
+    monkeypatch.setattr(d, "KEYS", 0)
+    assert len(want) > 20 and sorted(map(str, d.find_leaks(docs, items, run=d.RUN).collect())) == want
+
+
+def test_names_and_numbers_of_several_parts(spark):
+    item = "last summer the family went from New York to the sea and paid 1,000 dollars for 3.5 days in the old house with Uncle Sam Miller near the port"
+    other = item.replace("New York", "Paris").replace("1,000", "750").replace("3.5", "12").replace("Uncle Sam Miller", "Aunt Jane")
+    docs = cases.table(spark, [(0, other, "en", "s"), (1, item, "en", "s")])
+    got = {r.doc_id: (r.containment, r.reworded) for r in d.find_leaks(docs, benchmark(spark, [(0, item)])).collect()}
+    assert got == {0: (1.0, True), 1: (1.0, False)}
+
+
+def test_names_stay_apart(spark):
+    """Two persons of the item can't be one person in the document; two numbers may become equal."""
+    item = "in the garden Tom gives 2 apples to Anna and the mother of Tom gives 3 pears to the mother of Anna every day"
+    docs = cases.table(spark, [(0, item.replace("Tom", "Paul").replace("Anna", "Eva"), "en", "s"), (1, item.replace("Tom", "Paul").replace("Anna", "Paul"), "en", "s"), (2, item.replace("2", "7").replace("3", "7"), "en", "s")])
+    got = {r.doc_id for r in d.find_leaks(docs, benchmark(spark, [(0, item)])).collect()}
+    assert got == {0, 2}
 
 
 def test_decontaminated_rows(spark):
