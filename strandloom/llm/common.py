@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -12,11 +14,15 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "/tmp/checkpoints"
 ARROW_ROWS = 2000
 _MADE: list[str] = []
+_SETTING = threading.RLock()  # writes that change a setting of the session come one after the other
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return shared or LOCAL_SCRATCH
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -36,12 +42,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, min(int(before), ARROW_ROWS))  # long texts: what a Python worker holds at a time stays small
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(rows, before)
+    with _SETTING:
+        before = spark.conf.get(rows)
+        spark.conf.set(rows, min(int(before), ARROW_ROWS))  # long texts: what a Python worker holds at a time stays small
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(rows, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -67,6 +74,14 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def give_back() -> None:
+    """What a Python worker has freed goes back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -10,8 +10,9 @@ Documents with equal sets form a class; only classes go on. Bands of `rows` coor
 128 coordinates in bands of 4 a pair at similarity 0.8 is missed with probability 5e-8). In each bucket the
 class that collides most becomes its centre, and members are compared with it on full sets. Classes that a bucket
 still holds in different components are then joined by their rarest shingles: as many of each set, in one order of all
-shingles, that two similar sets can't do without a common one. What is joined, and by sizes and places can still be
-similar, is compared on full sets, unless the two are in one component already. No bucket is expanded into all its pairs, and no cap drops any.
+shingles, that two similar sets can't do without a common one. A shingle's classes are paired between components only,
+never within one; what is paired, and by sizes and places can still be similar, is compared on full sets. No bucket is
+expanded into all its pairs, and no cap drops any.
 
 Defined results: null, empty and blank texts have no shingle and are linked with nothing (component_id is their own
 id); a text with fewer words than a shingle is one shingle, its whole sequence; rows that repeat a doc_id share the
@@ -30,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, materialise, small_batches, words_of
+from .common import as_bytes, discard, give_back, materialise, small_batches, words_of
 from .graph import components
 
 COORDINATES, ROWS = 128, 4
 COUNTERS = 1 << 21
+SENT_ROWS = 1_000_000  # ids or class numbers that go to every task; beyond, rows are dealt out
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -90,15 +92,15 @@ def band_keys(coordinates: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, text: str, doc_id: str, shingle: int, coordinates: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the set, null if empty) and bands, for every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, key (a hash of the text), n_shingles, cls (digest of the set, null if empty) and bands, for every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, np.ndarray] = {}  # copies are often neighbours
         for batch in batches:
             for part in small_batches(batch):
                 sizes, digests, bands = [], [], []
-                for data in as_bytes(part.column(1)):
+                for data in as_bytes(part.column(2)):
                     own = shingle_set(words_of(data), shingle)
                     sizes.append(len(own))
                     if not len(own):
@@ -112,9 +114,11 @@ def signatures(docs: DataFrame, *, text: str, doc_id: str, shingle: int, coordin
                         seen[digest] = band_keys(sketch(own, coordinates), rows)
                     digests.append(digest)
                     bands.append(seen[digest])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+        seen.clear()
+        give_back()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, n_shingles long, cls binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, *, text: str, doc_id: str, shingle: int) -> DataFrame:
@@ -157,7 +161,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def item_counts(sets: DataFrame, size: int = COUNTERS) -> np.ndarray:
-    """How often items occur in all sets, in `size` hashed counters. Each task sums its own; segments of the sums meet by number."""
+    """How often items occur in all sets, in `size` hashed counters. Each task sums its own and sends them in 64 segments;
+    whoever gets a segment adds part after part, so that no task holds more than its segments, however many parts come."""
     step = size // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +173,15 @@ def item_counts(sets: DataFrame, size: int = COUNTERS) -> np.ndarray:
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([total[k * step : (k + 1) * step].tobytes() for k in range(64)], pa.binary())], names=["segment", "part"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("part").to_pylist())
-        return pa.table({"segment": table.column("segment").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                totals.setdefault(segment, np.zeros(step, np.int64))[:] += np.frombuffer(part.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["segment", "part"])
 
-    rows = sets.select("items").mapInArrow(run, "segment int, part binary").groupBy("segment").applyInArrow(add, "segment int, part binary").collect()
+    kinds = "segment int, part binary"
+    rows = sets.select("items").mapInArrow(run, kinds).repartition("segment").mapInArrow(add, kinds).collect()
     out = np.zeros(size, np.int64)
     for r in rows:  # 64
         out[r["segment"] * step : (r["segment"] + 1) * step] = np.frombuffer(r["part"], np.int64)
@@ -180,34 +189,53 @@ def item_counts(sets: DataFrame, size: int = COUNTERS) -> np.ndarray:
 
 
 def rare_items(sets: DataFrame, percent: int) -> DataFrame:
-    """cid, n, pos, item: of each set the n - ceil(percent n / 100) + 1 items that come first in one order of all items,
+    """cid, root, n, pos, item: of each set the n - ceil(percent n / 100) + 1 items that come first in one order of all items,
     rare ones first. Two sets with a similarity of `percent` or more have one of these in common, whatever the order."""
     shared = sets.sparkSession.sparkContext.broadcast(item_counts(sets).astype(np.int32))  # its size is COUNTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            cids, sizes, places, found = [], [], [], []
-            for cid, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for cid, root, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = np.frombuffer(items.as_buffer(), np.uint64)
                 keep = len(own) - -(-percent * len(own) // 100) + 1
                 order = np.lexsort((own, counts[(own % np.uint64(len(counts))).astype(np.int64)]))[:keep]
-                found.append(own[order].view(np.int64))
-                cids.append(np.full(len(order), cid, np.int64))
-                sizes.append(np.full(len(order), len(own), np.int64))
-                places.append(np.arange(len(order)))
-            if cids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cids, sizes, places, found)], names=["cid", "n", "pos", "item"])
+                for column, x in zip(columns, (np.full(len(order), cid), np.full(len(order), root), np.full(len(order), len(own)), np.arange(len(order)), own[order].view(np.int64)), strict=True):
+                    column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["cid", "root", "n", "pos", "item"])
+
+    return sets.select("cid", "root", "items").mapInArrow(run, "cid long, root long, n long, pos long, item long")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, for every task if it has at most SENT_ROWS rows."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
 
-    return sets.select("cid", "items").mapInArrow(run, "cid long, n long, pos long, item long")
+def between_roots(rare: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes of different components that share a rare item and can still be similar.
+
+    An item's components are paired first, then the classes of those; a component's own classes never meet, however many."""
+    of_item = rare.select("item", "root").distinct()
+    several = of_item.groupBy("item").agg(F.count("*").alias("k")).filter("k > 1").select("item")
+    of_item, rare = of_item.join(several, "item"), rare.join(several, "item")
+    pairs = of_item.withColumnRenamed("root", "root_1").join(of_item.withColumnRenamed("root", "root_2"), "item").filter("root_1 < root_2")
+    one, two = (rare.select("item", *[F.col(c).alias(c + k) for c in ("cid", "n", "pos", "root")]) for k in ("_1", "_2"))
+    both = pairs.join(one, ["item", "root_1"]).join(two, ["item", "root_2"])
+    near = 100 * F.least("n_1", "n_2") >= percent * F.greatest("n_1", "n_2")  # sets of other sizes can't be similar
+    # At the first item that two sets share, what follows in either must still make up the intersection that they need.
+    enough = (100 + percent) * F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2")) >= percent * (F.col("n_1") + F.col("n_2"))
+    return _ordered(both.filter(near & enough), "cid_1", "cid_2")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, percent: int = 80, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row for each row of docs."""
+def _grouped(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, percent: int = 80, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
+    """near_duplicates with the hash of the text (key)."""
     signed = materialise(signatures(docs, text=text, doc_id=doc_id, shingle=shingle, coordinates=coordinates, rows=rows), "signatures")
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -218,47 +246,56 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     degree = buckets.groupBy("cid").agg(F.sum("size").alias("degree"))
     ranked = buckets.join(degree, "cid")
     centre = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "cid", "n")).alias("c")).select("bucket", F.col("c.cid").alias("centre"), F.col("c.n").alias("centre_n"))
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes can't be similar
-    stars = _ordered(buckets.join(centre, "bucket").filter(near(F.col("n"), F.col("centre_n")) & (F.col("cid") != F.col("centre"))), "cid", "centre")
-    stars = materialise(stars, "stars")
+    near = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    stars = materialise(_ordered(buckets.join(centre, "bucket").filter(near & (F.col("cid") != F.col("centre"))), "cid", "centre"), "stars")
     wanted = classes.join(buckets.select("cid").distinct(), "cid", "left_semi")
     sets = materialise(sets_of(docs, wanted, text=text, doc_id=doc_id, shingle=shingle), "sets")
     links = materialise(verified(stars, sets, percent), "verified")
     roots = materialise(components(links), "roots")
 
-    placed = buckets.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("bucket", "cid", "n", F.coalesce("root", "cid").alias("root"))
+    placed = buckets.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    apart = placed.join(split, "bucket").select("cid", "root").distinct()
-    rare = rare_items(sets, percent).join(apart, "cid")
-    one, two = (rare.select("item", *[F.col(c).alias(c + k) for c in ("cid", "n", "pos", "root")]) for k in ("_1", "_2"))
-    # At the first item that two sets share, what follows in either must still make up the intersection that they need.
-    enough = (100 + percent) * F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2")) >= percent * (F.col("n_1") + F.col("n_2"))
-    rest = one.join(two, "item").filter((F.col("root_1") < F.col("root_2")) & near(F.col("n_1"), F.col("n_2")) & enough)
-    rest = _ordered(rest, "cid_1", "cid_2").join(stars, ["a", "b"], "left_anti")
+    apart = materialise(placed.join(split, "bucket").select("cid", "root").distinct(), "apart")
+    rare = materialise(rare_items(sets.join(_small(apart), "cid"), percent), "rare")
+    rest = between_roots(rare, percent).join(stars, ["a", "b"], "left_anti")
     more = materialise(verified(rest, sets, percent), "verified")
     if more.limit(1).count():
+        discard(roots)
         roots = materialise(components(links.unionByName(more)), "roots")
-    discard(buckets, stars, sets, links, more)  # the result needs signatures, classes and roots
+    discard(buckets, stars, sets, links, apart, rare, more)  # the result needs signatures, classes and roots
 
     rooted = classes.select("cls", "cid", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = rooted.join(smallest, "root").select("cls", "component_id")
-    return signed.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left").select(
+    return signed.select("doc_id", "key", "n_shingles", "cls").join(of_class, "cls", "left").select(
         "doc_id",
+        "key",
         "n_shingles",
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce(F.when(F.col("cls").isNull(), F.col("doc_id").isNotNull()).otherwise(F.col("doc_id") == F.col("component_id")), F.lit(False)).alias("kept"),
     )
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest id; rows that repeat an id and a text are one.
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row for each row of docs."""
+    return _grouped(docs, **how).drop("key")
 
-    Components whose ids are all null keep one row for each text."""
-    groups = near_duplicates(docs, text=text, doc_id=doc_id, **how)
-    stay = groups.filter("kept or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_stay")).distinct()
+
+def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs that stay: of each component the rows with the smallest id; rows that repeat an id and a text are one.
+
+    Components whose ids are all null keep one row for each text. Only ids and hashes of what goes or repeats are joined
+    with the texts, which stay where they are unless those are very many."""
+    groups = _grouped(docs, text=text, doc_id=doc_id, **how)
+    stays = F.col("kept") | (F.col("doc_id").isNull() & F.col("component_id").isNull())
+    marks = groups.groupBy("doc_id", "key").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1")
+    marks = materialise(marks.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "stays"), "marks")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    own = F.col("row").getField(doc_id)
-    rows = rows.join(stay, own.cast("long").eqNullSafe(F.col("_stay")), "left_semi")
-    keyed = rows.select("row", own.alias("id"), F.xxhash64(F.col("row").getField(text)).alias("key"))
-    return keyed.dropDuplicates(["id", "key"]).select("row.*")
+    own = F.col("row")
+    same = own.getField(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(own.getField(text)) == F.col("_key"))
+    once = rows.join(_small(marks), same, "left_anti").select("row.*")
+    repeated = marks.filter("stays")
+    if not repeated.limit(1).count():
+        return once
+    copies = rows.join(_small(repeated), same, "left_semi").select("row", own.getField(doc_id).alias("id"), F.xxhash64(own.getField(text)).alias("key"))
+    return once.unionByName(copies.dropDuplicates(["id", "key"]).select("row.*"))

@@ -73,7 +73,7 @@ def test_rare_items_of_similar_sets_meet(spark):
         y = x.copy()
         y[: rng.integers(0, 6)] = rng.integers(0, 1 << 62)
         rows += [(2 * k, np.unique(x).tobytes()), (2 * k + 1, np.unique(y).tobytes())]
-    sets = spark.createDataFrame([(c, bytearray(b)) for c, b in rows], "cid long, items binary")
+    sets = spark.createDataFrame([(c, c, bytearray(b)) for c, b in rows], "cid long, root long, items binary")
     rare = {}
     for r in minhash.rare_items(sets, 80).collect():
         rare.setdefault(r.cid, {})[r.item] = (r.pos, r.n)
@@ -86,6 +86,32 @@ def test_rare_items_of_similar_sets_meet(spark):
             assert 1.8 * min(len(x) - i, len(y) - j) >= 0.8 * (len(x) + len(y))
 
 
+def test_classes_of_one_component_never_meet(spark):
+    """An item that 3,000 classes of one component and two of another share gives 6,000 pairs, not millions."""
+    rows = [(k, 0, 50, 0, 7) for k in range(3000)] + [(5000 + k, 5000, 50, 0, 7) for k in range(2)] + [(9000, 9000, 500, 0, 7), (9001, 9001, 50, 49, 7), (1, 0, 50, 1, 8)]
+    rare = spark.createDataFrame(rows, "cid long, root long, n long, pos long, item long")
+    between = minhash.between_roots(rare, 80)
+    got = {(r.a, r.b) for r in between.collect()}
+    assert got == {(k, 5000 + j) for k in range(3000) for j in range(2)}
+    joined = between._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in joined and "NestedLoop" not in joined
+
+
+def test_item_counts(spark):
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 62, 40).astype(np.uint64) for _ in range(50)]
+    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in sets], "items binary").repartition(7)
+    want = np.bincount((np.concatenate(sets) % np.uint64(1 << 12)).astype(np.int64), minlength=1 << 12)
+    assert (minhash.item_counts(df, 1 << 12) == want).all()
+
+
+def test_one_of_each_group_stays_however_rows_are_joined(spark, monkeypatch):
+    docs = cases.table(spark)
+    want = [(r.doc_id, r.text) for r in minhash.keep_one(docs, shingle=5).collect()]
+    monkeypatch.setattr(minhash, "SENT_ROWS", 0)
+    assert cases.same(want, [(r.doc_id, r.text) for r in minhash.keep_one(docs, shingle=5).collect()])
+
+
 def test_components(spark):
     rng = random.Random(4)
     for edges in ([], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)], [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]):
