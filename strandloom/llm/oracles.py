@@ -16,7 +16,7 @@ def _line(condition: str) -> str:
 
 
 SECRETS = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS repo FROM documents),
 m AS (
   SELECT rid, 0 AS kind, string_split_regex(t, '{_QUOTED}') AS g, regexp_extract_all(t, '{_QUOTED}', 0) AS h, regexp_extract_all(t, '{_QUOTED}', 2) AS v FROM d
   UNION ALL SELECT rid, 1, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
@@ -28,7 +28,7 @@ c AS (SELECT rid, kind, sha256(value) AS hash, e - length(hit) AS s, e FROM p
   WHERE CASE kind WHEN 0 THEN length(value) >= 6 WHEN 1 THEN length(value) >= 20 WHEN 2 THEN length(value) >= 24
     ELSE regexp_full_match(value, '[A-Za-z0-9+/_-]{{20,}}') AND regexp_matches(value, '[0-9].*[0-9]') AND regexp_matches(value, '[A-Za-z]') END),
 a AS (SELECT * FROM c x WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM c y WHERE y.rid = x.rid AND y.kind < 3 AND y.s < x.e AND x.s < y.e)),
-o AS (SELECT hash, count(DISTINCT owner) >= 3 AS example FROM a JOIN d USING (rid) GROUP BY hash),
+o AS (SELECT hash, count(*) >= 3 AND max(r) <= 0.9 * sum(r) AS example FROM (SELECT hash, owner, count(DISTINCT repo) AS r FROM a JOIN d USING (rid) GROUP BY hash, owner) GROUP BY hash),
 f AS (SELECT a.*, example FROM a JOIN o USING (hash) WHERE kind < 3 OR NOT example)
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256({_line('kind < 3')}) AS base_sha256, {_line('true')} AS spans, count(*) FILTER (example) AS n_example, count(*) FILTER (NOT example) AS n_live

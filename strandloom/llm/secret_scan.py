@@ -2,10 +2,11 @@
 
 Candidates come from three base patterns and one generic pattern for bare credential-like runs. Every
 candidate's value is hashed; the hashes are aggregated over the corpus by distinct repositories and distinct
-owners. A value held by `min_owners` owners or more is a widely copied *example*; one that stays with fewer
-owners is *live*. Base spans are always reported; a generic span is added only if it lies apart from
-base spans and its value is live, so the
-ownership count is what separates a credential from a digest, licence id or sample key that everybody pastes.
+owners. A value that `min_owners` owners or more hold is a widely copied *example*, unless one owner has more than
+`most` of the repositories that hold it: then it is that owner's credential, which some others have copied. All other
+values are *live*, in however many repositories of one owner they are. Base spans are always reported; a generic span
+is added only if it lies apart from base spans and its value is live, so the ownership count is what separates a
+credential from a digest, licence id or sample key that everybody pastes.
 
 Defined results: null text is empty (no spans); a null owner or repository counts as one owner or repository of
 its own (the empty name); repeated rows each get their own spans and count once per distinct owner/repository;
@@ -14,7 +15,7 @@ an empty table gives an empty result; other columns are carried untouched inside
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -34,63 +35,63 @@ BARE = (
     r"(?<![A-Za-z0-9+/_-])(?<![A-Za-z0-9+/_=-]\.)(?:eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}|"
     r"(?=[A-Za-z+/_-]*[0-9][A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9+/_=-])"
 )
-SPAN = "array<struct<start:int,kind:int,end:int,hash:string>>"
+HIT = "array<struct<kind:int,k:int,gap:int,hit:int,hash:string>>"
+EXAMPLES = 200_000  # hashes of examples that go to every task
 
 
-def _located(text: Column, pattern: str, kind: int, value_group: int, least: int) -> Column:
-    """Spans of all leftmost non-overlapping matches: what lies between matches, and the matches, give positions."""
+def _hits(text: Column, pattern: str, kind: int, value_group: int, least: int) -> Column:
+    """All leftmost non-overlapping matches in order: the length of what lies before each, its own, and its value's hash (null if it fails)."""
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     rows = F.arrays_zip(between.alias("gap"), whole.alias("hit"), value.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    hash_of = lambda r: F.when(F.length(r["value"]) >= least, F.sha2(r["value"], 256))
+    found = F.transform(rows, lambda r, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.length(r["gap"]).alias("gap"), F.length(r["hit"]).alias("hit"), hash_of(r).alias("hash")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(HIT))
 
-    def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["gap"])
-        end = start + F.length(row["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(row["value"], 256).alias("hash"))
-        keep = F.length(row["value"]) >= least
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(rows, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+def candidate_hits(text: Column, generic: str = GENERIC) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return F.concat(_hits(text, ASSIGN, 0, 2, 6), _hits(text, ACCESS, 1, 0, 20), _hits(text, HEX, 2, 0, 24), _hits(text, generic, 3, 0, 20))
 
 
-def candidate_spans(text: Column, generic: str = GENERIC) -> Column:
-    """All candidate spans of a text, in code points, sorted by start and kind."""
-    text = F.coalesce(text, F.lit(""))
-    base = F.concat(_located(text, ASSIGN, 0, 2, 6), _located(text, ACCESS, 1, 0, 20), _located(text, HEX, 2, 0, 24))
-    apart = F.filter(_located(text, generic, 3, 0, 20), lambda g: ~F.exists(base, lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-    return F.array_sort(F.concat(base, apart))
+def located(hits: DataFrame) -> DataFrame:
+    """Rows of hits (rid, owner, repo, kind, k, gap, hit, hash) → spans in code points, generic ones only where they lie
+    apart from base spans. Running sums and running ends: the work follows the number of hits, also in one text."""
+    end = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("rid", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    spans = hits.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.col("hit")).filter("hash is not null")
+    base = F.col("kind") < 3
+    before = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("rid").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reached = spans.withColumn("reach", F.max(F.when(base, F.col("end"))).over(before)).withColumn("next", F.min(F.when(base, F.col("start"))).over(behind))
+    apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))
+    return reached.filter(base | apart).select("rid", "owner", "repo", "kind", "start", "end", "hash")
 
 
-def ownership(candidates: DataFrame, min_owners: int) -> DataFrame:
+def ownership(candidates: DataFrame, min_owners: int, most: float = 0.9) -> DataFrame:
     """hash → n_owners, n_repos, example. Each step pre-aggregates map-side, so a value in a third of all rows is cheap."""
     by_repo = candidates.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    return by_owner.groupBy("hash").agg(
-        F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_spans"), (F.count("*") >= min_owners).alias("example")
-    )
+    spread = (F.count("*") >= min_owners) & (F.max("repos") <= most * F.sum("repos"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_spans"), spread.alias("example"))
 
 
-def scan_secrets(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: str = "doc_id", min_owners: int = 3, generic: str = GENERIC) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: str = "doc_id", min_owners: int = 3, most: float = 0.9, generic: str = GENERIC) -> DataFrame:
     """`row` (the input row as a struct) and `spans`: array of (start, kind, end, example), kind an index of KINDS.
 
     Generic spans are kept only if live. Texts never move: rows without a candidate leave straight from the scan,
-    the few with one are written to the shared folder once, and only their spans are joined with the ownership counts.
+    the few with one are written to the shared folder once, and only their spans are joined with the examples' hashes.
     """
     name = lambda c: F.col("row").getField(c)
-    scanned = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("found", candidate_spans(name(text), generic))
+    scanned = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("found", candidate_hits(name(text), generic))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean>>")
     clean = scanned.filter(F.size("found") == 0).select("row", none.alias("spans"))
     hit = materialise(scanned.filter(F.size("found") > 0).withColumn("rid", F.monotonically_increasing_id()), "secret-candidates")
-    flat = hit.select(
-        "rid",
-        F.coalesce(name(owner).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(name(repo).cast("string"), F.lit("")).alias("repo"),
-        F.explode("found").alias("span"),
-    ).select("rid", "owner", "repo", "span.*")
-    judged = flat.join(ownership(flat, min_owners).select("hash", "example"), "hash")
+    flat = hit.select("rid", F.coalesce(name(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(name(repo).cast("string"), F.lit("")).alias("repo"), F.inline("found"))
+    spans = materialise(located(flat), "secret-spans")
+    examples = ownership(spans, min_owners, most).filter("example").select("hash", "example")
+    examples = F.broadcast(examples) if examples.count() <= EXAMPLES else examples
+    judged = spans.join(examples, "hash", "left").withColumn("example", F.coalesce("example", F.lit(False)))
     kept = judged.filter((F.col("kind") < 3) | ~F.col("example"))
     by_row = kept.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "example"))).alias("spans"))
     with_spans = hit.select("rid", "row").join(by_row, "rid", "left").select("row", F.coalesce("spans", none).alias("spans"))

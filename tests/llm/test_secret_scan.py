@@ -64,6 +64,22 @@ def test_ownership_counts(spark):
     assert got == {"h": (2, 3, 4, True), "g": (1, 1, 1, False)}
 
 
+def test_repositories_decide(spark):
+    """Many repositories of one owner: that owner's credential, even if two others copied it. As many owners with a share each: an example."""
+    one, copied, pasted = "Qa1Ws2Ed3Rf4Tg5Yh6Uj", "Pl9Ok8Ij7Uh6Yg5Tf4Rd", "Zm1Xn2Cb3Vv4Bc5Nx6Mz"
+    rows = [(k, f"x {one} y", "en", "a") for k in range(40)]
+    rows += [(100 + k, f"x {copied} y", "en", "a" if k < 40 else f"b{k}") for k in range(42)]
+    rows += [(200 + k, f"x {pasted} y", "en", f"c{k % 4}") for k in range(40)]
+    got = {r.doc_id: r.spans for r in secret_scan.secret_digest(secret_scan.scan_secrets(cases.table(spark, rows))).collect()}
+    assert all(got[k] == "generic:2:22" for k in [*range(40), *range(100, 142)]) and all(got[200 + k] == "" for k in range(40))
+
+
+def test_examples_without_broadcast(spark, monkeypatch):
+    want = secret_scan.secret_digest(secret_scan.scan_secrets(cases.table(spark, rows()))).collect()
+    monkeypatch.setattr(secret_scan, "EXAMPLES", 0)
+    assert cases.same(want, secret_scan.secret_digest(secret_scan.scan_secrets(cases.table(spark, rows()))).collect())
+
+
 def test_redaction(spark):
     docs = cases.table(spark, rows())
     out = secret_scan.redact(docs)
@@ -93,7 +109,7 @@ def test_plan_is_native(spark, sf_dir):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-@pytest.mark.parametrize("text", ["x" * 300_000, "password=abc123 " * 3000])
+@pytest.mark.parametrize("text", ["x" * 300_000, "password=abc123 " * 3000, f"password=abc123 {LIVE} " * 40_000])
 def test_long_texts(spark, text):
     got = secret_scan.secret_digest(secret_scan.scan_secrets(cases.table(spark, [(1, text, "en", "s")]))).first()
     assert got.n_assign == text.count("password")
