@@ -2,29 +2,30 @@
 
 Character 1- to 3-grams of the lower-cased text are hashed into `features` buckets. Document frequencies are counted
 over all training documents; weights are trained by FTRL-proximal with elastic-net (L1 and L2) penalties on a
-bounded sample (`sample` documents, those with the smallest id hashes), and a temperature is fitted on a slice of
-that sample that the weights have not seen. Prediction reads the whole text only.
-
-Defined results: null text, or text without a letter, is `und` with score 0; with no training document at all every
-text is `und` with score 0; null languages are not learned from; repeated rows are predicted one by one; an empty
-table gives an empty result; other columns take no part.
+bounded sample, drawn by language: of each the documents with the smallest id hashes, `sample` by the number of
+languages, `least` at any rate. So a rare language is learned like any other, and all are held equally likely beforehand
+(shares of languages in the bias would outvote clear texts of rare ones, whose few documents give small weights). A
+temperature is fitted on a slice of the sample that the weights have not seen, each document with the weight of its language. Features of the sample are made where its texts are. Prediction reads the whole text only.
+
+Defined results: null text, or text without a letter (a character of Unicode's letter categories: no digits, numerals or
+superscripts), is `und` with score 0; with no training document at all every text is `und` with score 0; null languages
+are not learned from; repeated rows are predicted one by one; an empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of
+from .common import bucket_of, give_back
 
 FEATURES = 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLY = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 _BLOCK = 1 << 20  # characters hashed at a time; counts of blocks add up, so texts of any length are whole
 
@@ -57,6 +58,10 @@ def weigh(present: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
     return x / norm if norm > 0 else x
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
@@ -70,7 +75,7 @@ class LanguageModel:
         return weigh(present, counts, self.idf) @ self.weights[present] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return "und", 0.0
         z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
@@ -105,15 +110,16 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes:
     return every[:features], every[features]
 
 
-def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least negative log likelihood, by golden section on its logarithm."""
+def fit_temperature(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The temperature of least (weighted) negative log likelihood, by golden section on its logarithm."""
     if not len(labels):
         return 1.0
+    weights = np.ones(len(labels)) if weights is None else weights
 
     def loss(t: float) -> float:
         z = logits / np.exp(t)
         z = z - z.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(labels)), labels]))
+        return float(np.average(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(labels)), labels], weights=weights))
 
     low, high, ratio = -4.0, 3.0, (np.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -135,6 +141,7 @@ def document_frequencies(docs: DataFrame, text: str, features: int) -> tuple[np.
         if n:
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], names=["feature", "n"])
+        give_back()
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(features, np.int64)
@@ -147,24 +154,55 @@ def document_frequencies(docs: DataFrame, text: str, features: int) -> tuple[np.
     return counts, n
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", features: int = FEATURES, sample: int = 2000) -> LanguageModel:
-    """Learn from rows whose language is not null. `sample` bounds the rows that weights are fitted to; every fifth of them calibrates."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"))
+def sample_features(known: DataFrame, sample: int, least: int, features: int) -> tuple[dict[str, int], list[tuple[str, np.ndarray, np.ndarray]]]:
+    """Documents of each language, and (language, buckets, counts) of the sampled ones, in the order of their hashes.
+
+    Hashes alone meet first, at most the wanted number of each language from a task; then only the sample's texts are read."""
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not totals:
+        return {}, []
+    each = max(least, -(-sample // len(totals)))
+    ranked = known.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= each)
+    reach = ranked.groupBy(F.col("lang").alias("own")).agg(F.max("h").alias("reach"))
+    chosen = known.join(F.broadcast(reach), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("reach"))).select("lang", "h", "text")  # a row a language is sent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gram_counts(x.as_py(), features) for x in batch.column(2)]
+            kind = pa.list_(pa.int32())
+            columns = [pa.array([x[k].astype(np.int32) for x in found], kind) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["lang", "h", "present", "counts"])
+
+    rows = chosen.mapInArrow(run, "lang string, h long, present array<int>, counts array<int>").collect()
+    rows = sorted(((r["h"], r["lang"], np.array(r["present"], np.int64), np.array(r["counts"], np.int64)) for r in rows), key=lambda r: (r[0], r[1], len(r[2]), r[2].tolist(), r[3].tolist()))
+    taken: dict[str, int] = defaultdict(int)
+    out = []
+    for _, lang, present, counts in rows:  # rows that repeat an id share its hash
+        taken[lang] += 1
+        if taken[lang] <= each:
+            out.append((lang, present, counts))
+    return totals, out
+
+
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", features: int = FEATURES, sample: int = 2000, least: int = 20) -> LanguageModel:
+    """Learn from rows whose language is not null. `sample` and `least` bound the rows that weights are fitted to; every fifth of them calibrates."""
+    known = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"))
     counts, n = document_frequencies(known, "text", features)
     idf = np.log((1.0 + n) / (1.0 + counts)) + 1.0
-    least = known.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone meet; then only the sample's texts move
-    picked = known.filter(F.col("h") <= least).orderBy("h", "lang").limit(sample).collect() if least is not None else []
-    languages = sorted({r["lang"] for r in picked})
-    rows = []
-    for r in picked:
-        if r["text"]:
-            present, c = gram_counts(r["text"], features)
-            rows.append((present, weigh(present, c, idf), languages.index(r["lang"])))
-    fitted = [r for k, r in enumerate(rows) if k % 5] or rows
+    totals, picked = sample_features(known, sample, least, features)
+    languages = sorted(totals)
+    rows = [(present, weigh(present, c, idf), languages.index(name)) for name, present, c in picked]
+    part: dict[int, int] = defaultdict(int)
+    held, fitted = [], []
+    for r in rows:  # every fifth of each language
+        (held if part[r[2]] % 5 == 4 else fitted).append(r)
+        part[r[2]] += 1
     weights, bias = ftrl(fitted, features, max(1, len(languages)))
-    held = rows[::5]
+    held = held or rows
     logits = np.array([x @ weights[p] + bias for p, x, _ in held]).reshape(len(held), weights.shape[1])
-    return LanguageModel(languages, idf, weights, bias, fit_temperature(logits, np.array([y for *_, y in held], int)))
+    labels = np.array([y for *_, y in held], int)
+    worth = np.array([totals[x] for x in languages])[labels] / np.bincount(labels, minlength=len(languages))[labels] if rows else None
+    return LanguageModel(languages, idf, weights, bias, fit_temperature(logits, labels, worth))
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -177,6 +215,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", doc_i
             out = [own.predict(x.as_py()) for x in batch.column(0)]
             columns = [batch.column(k) for k in range(1, batch.num_columns)] + [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "lang_pred", "score"])
+        give_back()
 
     chosen = docs.select(F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("doc_id"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
