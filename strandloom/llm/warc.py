@@ -30,6 +30,7 @@ from .common import scratch_path
 DICTIONARY_MAGIC = 0x184D2A5D
 PADDING = struct.pack("<II", 0x184D2A50, 0)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SENT_DIGESTS = 500_000  # digests of repeated payloads that go to every task; beyond, payloads are dealt out by digest
 RECORDS = "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -96,21 +97,29 @@ def write_archives(
     level: int = 3,
     dictionary_bytes: int = 65_536,
     sample_records: int = 400,
-    sample_bytes: int = 16_384,
+    sample_bytes: int = 6 << 20,
 ) -> None:
-    """Write the archives under `path`. The dictionary sees `sample_records` records' first `sample_bytes` characters."""
+    """Write the archives under `path`. The dictionary sees whole records, of the `sample_records` with the smallest hashes
+    those that fit into `sample_bytes` one after the other."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("string")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(uri).cast("string").alias("uri"), body.alias("payload"))
-    hashed = rows.select("page_id", "uri", F.substring("payload", 1, sample_bytes).alias("payload"), F.xxhash64("page_id", "uri").alias("h"))
-    least = hashed.select("h").orderBy("h").limit(sample_records).agg(F.max("h")).first()[0]  # hashes alone meet; then only the sample's payloads move
-    sample = hashed.filter(F.col("h") <= least).orderBy("h").limit(sample_records).collect() if least is not None else []
-    trained = train_dictionary([record(r["page_id"], r["uri"], (r["payload"] or "").encode(), None, date) for r in sample], dictionary_bytes)
+    hashed = rows.withColumn("h", F.xxhash64("page_id", "uri"))
+    drawn = hashed.select("h", F.octet_length("payload").alias("size")).orderBy("h", "size").limit(sample_records).collect()  # lengths alone meet
+    chosen, left = [], sample_bytes
+    for r in drawn:
+        if r["size"] <= left:
+            chosen.append(r["h"])
+            left -= r["size"]
+    fits = F.octet_length("payload") <= sample_bytes
+    sample = hashed.filter(F.col("h").isin(chosen) & fits).orderBy("h", F.octet_length("payload"), "payload").limit(len(chosen)).collect() if chosen else []
+    trained = train_dictionary([record(r["page_id"], r["uri"], r["payload"].encode(), None, date) for r in sample], dictionary_bytes)
 
     keyed = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("large", F.octet_length("payload") >= min_bytes)
-    chosen = (
+    again = (
         keyed.filter("large and page_id is not null").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("digest", "response")
     )  # only payloads that occur again: small, and unique by digest
-    decided = keyed.join(chosen, "digest", "left").select("page_id", "uri", "payload", F.when(F.col("large") & (F.col("page_id") != F.col("response")), F.col("response")).alias("refers_to"))
+    again = F.broadcast(again) if again.count() <= SENT_DIGESTS else again  # then payloads stay where they are
+    decided = keyed.join(again, "digest", "left").select("page_id", "uri", "payload", F.when(F.col("large") & (F.col("page_id") != F.col("response")), F.col("response")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(trained) if trained else None

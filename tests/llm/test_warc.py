@@ -1,16 +1,17 @@
 import io
 import struct
 
-import llm_cases as cases  # noqa: F401
+import llm_cases as cases
 import zstandard
 
 from strandloom.llm import warc
 
-PAGES = "page_id long, url string, html string, digest string, response string, payload string, refers_to string"
+NAMES = [*cases.CLASHING, "response", "payload", "uri", "large", "h", "size", "page_id_", "frame"]
+PAGES = "page_id long, url string, html string, " + ", ".join(f"`{c}` string" for c in dict.fromkeys(NAMES))
 
 
 def pages(spark, rows):
-    return spark.createDataFrame([(i, u, h, "d", "r", "p", "x") for i, u, h in rows], PAGES).repartition(3)
+    return spark.createDataFrame([(*r, *["x"] * len(set(NAMES))) for r in rows], PAGES).repartition(3)
 
 
 ROWS = [(k, f"http://e.org/{k}", f"<html>{'page text ' * 40}{k % 40}</html>") for k in range(120)] + [
@@ -49,6 +50,13 @@ def test_smaller_payloads_are_all_responses(spark):
     assert cases.same(got.select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest").collect(), expected(ROWS, 10))
 
 
+def test_many_repeated_payloads(spark, monkeypatch):
+    """Without the broadcast of digests the records are the same."""
+    monkeypatch.setattr(warc, "SENT_DIGESTS", 0)
+    got = warc.archive_round_trip(pages(spark, ROWS))
+    assert cases.same(got.select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest").collect(), expected(ROWS))
+
+
 def test_payloads_and_files(spark, tmp_path):
     path = str(tmp_path / "out")
     warc.write_archives(pages(spark, ROWS), path)
