@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import give_back, materialise, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MEMO_WORDS = 800_000
+MEMO_BYTES = 48 << 20  # of words in a worker's memo, as WORD_BYTES each and their letters and ids
+WORD_BYTES = 170  # what an entry, its key and its value take beside them
 LONGEST_MEMO_WORD = 64
 TOGETHER = 512
 
@@ -57,6 +58,7 @@ class WordMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.size = 0
         self.ends = dict(zip(".,", self.encode([".", ","]), strict=True))
 
     def encode(self, words: list[str]) -> list[bytes]:
@@ -80,11 +82,12 @@ class WordMemo:
         self.words.update(zip(todo, self.encode(todo), strict=True))
         for w in ended:
             self.words[w] = self.words[w[:-1]] + self.ends[w[-1]]
+        self.size += sum(WORD_BYTES + len(w) + len(self.words[w]) for w in (*todo, *ended))
 
     def documents(self, texts: list[str]) -> list[bytes]:
         split = [(text if BEYOND_LATIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts]
-        if len(self.words) >= MEMO_WORDS:
-            self.words.clear()
+        if self.size >= MEMO_BYTES:
+            self.words, self.size = {}, 0
         unseen = set().union(*split).difference(self.words)
         self.learn(unseen)
         out = [b"".join(map(self.words.__getitem__, words)) for words in split]
@@ -113,6 +116,7 @@ def tokenise_pieces(docs: DataFrame, *, capacity: int, end_id: int, path: str, d
                         for column, value in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
