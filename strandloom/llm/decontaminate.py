@@ -155,6 +155,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 5, thresh
     value = lambda v: F.translate(v, MAYBE, MARK)
     pairs = F.transform(slots, lambda z: F.struct(value(z["x"]).alias("x"), value(z["y"]).alias("y")))
     matched = joined.select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), (F.col("plain") & F.col("item_plain")).alias("plain"), pairs.alias("slots"))
+    matched = materialise(matched, "matched") if run is not None else matched  # both rules read it
     keys = ["doc_id", "text_key", "item_id", "item_key"]
 
     def agreed(rows: Column) -> Column:
