@@ -65,7 +65,14 @@ class ScoreMatrix:
 
 #: The matrices that sweeps use, and a directional one.
 BASIC = ScoreMatrix.simple()
-COMP_SYMMETRIC = ScoreMatrix({x: {y: {"A": 2, "C": 3, "G": 3, "T": 2}[x] if x == y else -1 for y in "ACGT"} for x in "ACGT"})
+COMP_SYMMETRIC = ScoreMatrix(
+    {
+        "A": {"A": 2, "C": -1, "G": -1, "T": -1},
+        "C": {"A": -1, "C": 3, "G": -1, "T": -1},
+        "G": {"A": -1, "C": -1, "G": 3, "T": -1},
+        "T": {"A": -1, "C": -1, "G": -1, "T": 2},
+    }
+)
 NON_COMP_SYMMETRIC = ScoreMatrix(
     {
         "A": {"A": 4, "C": -1, "G": -2, "T": -3},

@@ -1,8 +1,8 @@
 """Batched alignment of two sequences: all pairs of equal lengths (n, m) advance one anti-diagonal at a time.
 
 On diagonal d the cells (i, d - i) of every pair are one array [cells, pairs]. A cell holds three scores, by the kind of
-its last column (see factor_planes). Scores alone need two diagonals; with traceback, one byte per cell and kind says
-which kind came before (the first of equal scores in the order 0, 1, 2).
+its last column (see factor_planes). Scores alone need two diagonals; with traceback, two bits per cell and kind, in one
+byte, say which kind came before (the first of equal scores in the order 0, 1, 2). Diagonals follow each other there.
 """
 
 from __future__ import annotations
@@ -78,17 +78,21 @@ def align_block(a: np.ndarray, b: np.ndarray, config: AlignConfig, dense: np.nda
     reversed_b = np.ascontiguousarray(cb[::-1])
     shape = (3, n + 2, count)  # row i + 1 is cell i; row 0 stays empty
     before, last, now = (np.full(shape, NONE) for _ in range(3))
-    back = np.zeros((3, n + m + 1, n + 1, count), np.uint8) if traceback else None  # by kind, diagonal and cell
+    d = np.arange(n + m + 1)
+    low = np.maximum(d - m, 0)  # the first cell of each diagonal
+    begin = np.concatenate([[0], np.cumsum(np.minimum(d, n) - low + 1)])
+    back = np.zeros((begin[-1], count), np.uint8) if traceback else None
     last[0, 1] = 0.0
 
     def best(c0, c1, c2, kind, d, lo, target):
         np.maximum(c0, c1, out=target)
         if back is not None:
-            came = back[kind, d, lo : lo + len(target)]
-            np.greater(c1, c0, out=came.view(bool))
-            third = (c2 > target).view(np.uint8)
-            np.left_shift(third, 1, out=third)
+            came, third = np.greater(c1, c0).view(np.uint8), np.greater(c2, target).view(np.uint8)
+            third <<= 1
             np.maximum(came, third, out=came)
+            came <<= 2 * kind
+            at = begin[d] + lo - low[d]
+            back[at : at + len(target)] |= came
         np.maximum(target, c2, out=target)
 
     for d in range(1, n + m + 1):
@@ -129,7 +133,7 @@ def align_block(a: np.ndarray, b: np.ndarray, config: AlignConfig, dense: np.nda
         if not alive.any():
             break
         steps[k, alive] = state[alive]
-        came = back[state, i + j, i, every]
+        came = back[begin[i + j] + i - low[i + j], every] >> (2 * state).astype(np.uint8) & 3
         i = i - (alive & (state != 1))
         j = j - (alive & (state != 2))
         state = np.where(alive, came, state)
@@ -158,6 +162,6 @@ def render_block(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> tuple[list[
 
 
 def pairs_at_once(n: int, m: int, traceback: bool) -> int:
-    """Pairs in a block: its diagonals stay in cache, its pointers within 64 MB."""
+    """Pairs in a block: its diagonals stay in cache, its pointers (a byte for each cell of the lattice) within 64 MB unless one pair has more."""
     most = BUDGET // (8 * 17 * (min(n, m) + 2))
-    return max(1, min(most, (64 << 20) // (3 * (n + 1) * (n + m + 1))) if traceback else most)
+    return max(1, min(most, (64 << 20) // ((n + 1) * (m + 1))) if traceback else most)

@@ -37,18 +37,20 @@ def combined_delta_g(values, temp_c: float = 37.0) -> Column:
     return F.when(values.isNotNull() & some, -rt * (most + F.log(summed)))
 
 
+#: Terms are summed relative to the nearest multiple of this: far enough apart that a group has few of them, and no sum overflows.
+STEP = 64.0
+
+
 def delta_g_by_group(df: DataFrame, keys: list[str], value: str, temp_c: float = 37.0, into: str = "delta_g") -> DataFrame:
-    """One row a group. The group's largest term comes first (a partial aggregate), then the sum relative to it; the two
-    joined by key, so that no group's rows ever meet in one task."""
+    """One row a group, from partial aggregates alone: each group's terms are first summed by multiples of STEP near them, so
+    that a group leaves a task as a few rows, whatever its size; then those sums are combined relative to the largest."""
     rt = _rt(temp_c)
-    terms = df.select(*keys, (-_finite(F.col(value).cast("double")) / rt).alias("_x"))
-    most = terms.groupBy(*keys).agg(F.max("_x").alias("_most"))
-    same = None
-    for k in keys:
-        same = F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}")) if same is None else same & F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}"))
-    joined = terms.alias("t").join(most.alias("g"), same) if same is not None else terms.alias("t").crossJoin(most.alias("g"))
-    summed = joined.groupBy(*[F.col(f"g.{k}").alias(k) for k in keys], F.col("g._most").alias("_most")).agg(F.sum(F.exp(F.col("t._x") - F.col("g._most"))).alias("_sum"))
-    return summed.select(*keys, (-rt * (F.col("_most") + F.log("_sum"))).alias(into))
+    terms = df.select(*keys, (-_finite(F.col(value).cast("double")) / rt).alias("_x")).withColumn("_near", F.rint(F.col("_x") / STEP) * STEP)
+    sums = terms.groupBy(*keys, "_near").agg(F.sum(F.exp(F.col("_x") - F.col("_near"))).alias("_sum"))
+    most = F.array_max(F.transform("_sums", lambda s: s["_near"]))
+    total = F.aggregate("_sums", F.lit(0.0), lambda acc, s: acc + s["_sum"] * F.exp(s["_near"] - F.col("_most")))
+    grouped = sums.groupBy(*keys).agg(F.collect_list(F.struct("_near", "_sum")).alias("_sums")).withColumn("_most", most)
+    return grouped.select(*keys, (-rt * (F.col("_most") + F.log(total))).alias(into))
 
 
 def delta_g_aggregate(temp_c: float = 37.0):

@@ -8,29 +8,39 @@ from pyspark.sql import functions as F
 from ..functions.config import AlignConfig
 from .align import dimer_score, nw_score
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+PAIRS_A_TASK = 1_000_000
 
 
-def all_pairs(first: DataFrame, second: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _size(primers: DataFrame, columns: list[str]) -> tuple[int, int]:
+    """Rows, and about how many bytes they take."""
+    each = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64))
+    found = primers.agg(F.count("*").alias("n"), F.sum(each.cast("long")).alias("bytes")).first()
+    return found["n"], found["bytes"] or 0
+
+
+def all_pairs(first: DataFrame, second: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(i1, name1, seq1, i2, name2, seq2) of two primer sets (i, name, seq). The order is that of (i1, i2), by orderBy where it matters.
 
-    A second set of at most broadcast_rows goes to the first one's partitions; a larger one is paired partition by
+    A second set of at most broadcast_bytes goes to the first one's partitions; a larger one is paired partition by
     partition. The result has all pairs either way: that is what a screen computes."""
     one = first.select(*[F.col(c).alias(c + "1") for c in ("i", "name", "seq")])
     two = second.select(*[F.col(c).alias(c + "2") for c in ("i", "name", "seq")])
-    if two.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if _size(second, ["name", "seq"])[1] <= broadcast_bytes:
         two = F.broadcast(two)
     return one.crossJoin(two)
 
 
-def key_pairs(first: DataFrame, second: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(k1, seq1, k2, seq2) of two sets (k, seq), spread for the alignment that follows: few rows cost much time."""
+def key_pairs(first: DataFrame, second: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(k1, seq1, k2, seq2) of two sets (k, seq), spread for the alignment that follows: few rows cost much time, so every
+    core gets some, and no task more than about PAIRS_A_TASK pairs."""
     one = first.select(F.col("k").alias("k1"), F.col("seq").alias("seq1"))
     two = second.select(F.col("k").alias("k2"), F.col("seq").alias("seq2"))
-    if two.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    rows, size = _size(second, ["seq"])
+    if size <= broadcast_bytes:
         two = F.broadcast(two)
-    parallel = first.sparkSession.sparkContext.defaultParallelism
-    return one.repartition(parallel, "k1").crossJoin(two)
+    tasks = max(first.sparkSession.sparkContext.defaultParallelism, -(-first.count() * rows // PAIRS_A_TASK))
+    return one.repartition(tasks, "k1").crossJoin(two)
 
 
 def best_partner(scored: DataFrame, by: str, partner: str, score: str, *carry: str) -> DataFrame:

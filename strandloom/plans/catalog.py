@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diagrams, dna, render, thermo
-from ..functions.config import COMP_SYMMETRIC, DIMER3_FREE, DIMER_FREE, DIRECTIONAL, NON_COMP_SYMMETRIC, AlignConfig, Scaler
+from ..functions.config import COMP_SYMMETRIC, DIMER3_FREE, DIMER_FREE, DIRECTIONAL, NON_COMP_SYMMETRIC, AlignConfig, Scaler, flag_string, flags_of
 from ..functions.text import format_event
 from ..operators import align, rescore, screen
 from ..sources import connectors
-from ..sources.generated import random_alignment, random_dna, table_primers, witnesses
+from ..sources.generated import WITNESS_PAIRS, random_alignment, random_dna, table_primers, witnesses
 from ..streaming.dimers import calls_in_period
 from . import oracles as sql
 from . import speedup, sweep
@@ -105,7 +105,10 @@ def document_sequences(spark, sf_dir):
     return d.select("doc_id", F.length("s").alias("length"), F.md5(F.col("s").cast("binary")).alias("digest"))
 
 
-@query(f"SELECT k1, k2, seq2 AS swapped1, seq1 AS swapped2, reverse(seq1) AS reversed1, {sql.complement('seq1')} AS complemented1, true AS restored FROM ({PAIRS_SQL})")
+_TWICE = " AND ".join(f"reverse(reverse({x})) = {x} AND {sql.complement(sql.complement(x))} = {x}" for x in ("seq1", "seq2"))
+
+
+@query(f"SELECT k1, k2, seq2 AS swapped1, seq1 AS swapped2, reverse(seq1) AS reversed1, {sql.complement('seq1')} AS complemented1, {_TWICE} AS restored FROM ({PAIRS_SQL})")
 def input_transforms(spark, sf_dir):
     p, c = pairs(spark, sf_dir), AlignConfig(free=DIMER_FREE)
     moved = {s: dna.transformed(s, ["seq1", "seq2"], c)[0] for s in dna.SYMMETRIES_2D}
@@ -150,9 +153,20 @@ for _name, _config in {"nw_align_dimer_flags": PLAIN.but(free=DIMER_FREE), "nw_a
         lambda spark, sf_dir, c=_config: pairs(spark, sf_dir).select("k1", "k2", align.nw_align("seq1", "seq2", c).alias("r")).select("k1", "k2", "r.*")
     )
 
+for _name, _config in {"nw_align_scaled": AlignConfig(free=DIMER_FREE), "nw_align_custom_scaler": SCORES["nw_score_custom_scaler"]}.items():
+    query(f"SELECT k1, k2, aligned1, aligned2, round(score, 6) + 0.0 AS score FROM ({sql.aligned(PAIRS_SQL, _config, True)})", _name)(
+        lambda spark, sf_dir, c=_config: pairs(spark, sf_dir).select("k1", "k2", align.nw_align("seq1", "seq2", c).alias("r")).select("k1", "k2", "r.aligned1", "r.aligned2", rounded("r.score").alias("score"))
+    )
+
 PLAIN_DIMER = PLAIN.but(free=DIMER_FREE)
 
 
+@query(f"SELECT k1, k2, aligned1, {sql.complement('aligned2')} AS aligned2, round(score, 6) + 0.0 AS score FROM ({sql.aligned(DIMER_SQL, AlignConfig(free=DIMER_FREE), True)})")
+def predict_dimer_scaled(spark, sf_dir):
+    found = align.predict_dimer(pairs(spark, sf_dir), "seq1", "seq2")
+    return found.select("k1", "k2", "dimer.aligned1", "dimer.aligned2", rounded("dimer.score").alias("score"))
+
+
 @query(f"SELECT k1, k2, aligned1, {sql.complement('aligned2')} AS aligned2, score FROM ({sql.aligned(DIMER_SQL, PLAIN_DIMER, True)})")
 def predict_dimer(spark, sf_dir):
     return align.predict_dimer(pairs(spark, sf_dir), "seq1", "seq2", PLAIN).select("k1", "k2", "dimer.*")
@@ -236,7 +250,7 @@ def nw3_align_degapped(spark, sf_dir):
     return found.select("k1", "k2", "k3", "r.score", rescore.score_alignment_3d(*rows, THREE).alias("rescored"), *[dna.degap(r).alias(f"seq{s + 1}") for s, r in enumerate(rows)])
 
 
-@query()
+@query(f"SELECT k1, k2, k3, aligned1, aligned2, aligned3, score FROM ({sql.aligned3(TRIPLES_SQL, THREE, True)})")
 def nw3_align(spark, sf_dir):
     return triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_align("seq1", "seq2", "seq3", THREE).alias("r")).select("k1", "k2", "k3", "r.*")
 
@@ -249,7 +263,10 @@ def align_dimer_score(spark, sf_dir):
     return align_dimer(spark, sf_dir).select("k1", "k2", "k3", "score")
 
 
-@query()
+_TURNED_SQL = TRIPLES_SQL.replace("c.seq AS seq3", sql.reverse_complement("c.seq") + " AS seq3")
+
+
+@query(f"SELECT k1, k2, k3, aligned1, aligned2, {sql.complement('aligned3')} AS aligned3, score FROM ({sql.aligned3(_TURNED_SQL, DIMER3, True)})")
 def align_dimer(spark, sf_dir):
     return align.align_dimer(triples(spark, sf_dir), "seq1", "seq2", "seq3").select("k1", "k2", "k3", "dimer3.*")
 
@@ -286,7 +303,14 @@ for _name, _config in {"rescore_2d": EVENTS, "rescore_2d_unscaled": PLAIN.but(ga
     )
 
 
-@query()
+_SHOWN_EVENT = " || ".join(
+    ["'[score_alignment] event=' || event", *(f"' {c}=' || {c}" for c in ("col_idx", "seq1_pos", "seq2_pos", "mask")), "' prev_mask=' || prev_mask"]
+    + [f"' {c}=' || printf('%.6g', {c})" for c in ("raw_penalty", "factor", "scaled_penalty")]
+    + [f"coalesce(' {c}=' || {c}, '')" for c in ("seq1_char", "seq2_char")]
+)
+
+
+@query(f"SELECT k1, k2, event_no, {_SHOWN_EVENT} AS line FROM ({sql.events(GAPPED_SQL, EVENTS)})")
 def events_formatted(spark, sf_dir):
     e = _explained(spark, sf_dir)
     return e.select("k1", "k2", "event_no", format_event(F.struct(*[c for c in e.columns if c not in ("k1", "k2", "event_no")])).alias("line"))
@@ -310,7 +334,7 @@ def rescore_3d(spark, sf_dir):
     return _three_gapped(spark, sf_dir).select("k1", "k2", rescore.score_alignment_3d("aligned1", "aligned2", "aligned3", THREE).alias("score"))
 
 
-@query()
+@query(sql.rows3(sql.aligned3(TRIPLES_SQL, THREE, True), THREE))
 def score_events_3d(spark, sf_dir):
     found = triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_align("seq1", "seq2", "seq3", THREE).alias("r"))
     return rescore.explain(found, rescore.score_events_3d("r.aligned1", "r.aligned2", "r.aligned3", THREE), ["k1", "k2", "k3"])
@@ -319,34 +343,68 @@ def score_events_3d(spark, sf_dir):
 # Consistency and symmetry -------------------------------------------------------------------------------------------
 
 _ALL_FLAGS = list(product((False, True), repeat=4))
-_FLAGS_SQL = "SELECT unnest([" + ", ".join("'" + "".join("01"[x] for x in f) + "'" for f in _ALL_FLAGS) + "]) AS flags"
-_CASES_SQL = "SELECT unnest(range(5)) AS c UNION ALL SELECT a.r_regionkey FROM region a CROSS JOIN region b"
-_EVERY_FLAG_PASSES = f"SELECT flags, count(*) AS passed, count(*) AS total FROM ({_FLAGS_SQL}) CROSS JOIN ({_CASES_SQL}) GROUP BY flags"
+_REGION_SQL = sql.primers("region", "r_regionkey", "r")
+_CASES_SQL = (
+    "SELECT k1, 0::BIGINT AS k2, seq1, seq2 FROM (VALUES " + ", ".join(f"(({k - len(WITNESS_PAIRS)})::BIGINT, '{a}', '{b}')" for k, (a, b) in enumerate(WITNESS_PAIRS)) + ") AS t(k1, seq1, seq2) "
+    f"UNION ALL SELECT a.k * 1000 + b.k, 0, a.seq, b.seq FROM ({_REGION_SQL}) a CROSS JOIN ({_REGION_SQL}) b"
+)
+
+
+def _passes_sql(flags: str, one: str, two: str, keys: str = "k1, k2") -> str:
+    """one and two: SQL of scores with the keys. How many agree."""
+    return f"SELECT '{flags}' AS flags, count(*) FILTER (abs(a.score - b.score) <= 1e-9) AS passed, count(*) AS total FROM ({one}) a JOIN ({two}) b USING ({keys})"
+
 
+def _rescored_sql(alignments: str, config: AlignConfig) -> str:
+    return f"SELECT k1, k2, coalesce(sum(scaled_penalty), 0) AS score FROM ({alignments}) LEFT JOIN ({sql.events(alignments, config, 15)}) USING (k1, k2) GROUP BY k1, k2"
 
-@query(_EVERY_FLAG_PASSES)
+
+def _rescoring_sql(config: AlignConfig) -> str:
+    found = sql.aligned(_CASES_SQL, config, True)
+    return _passes_sql(flag_string(config.free), found, _rescored_sql(found, config))
+
+
+@query(" UNION ALL ".join(_rescoring_sql(AlignConfig(free=f)) for f in _ALL_FLAGS))
 def dp_eq_rescore(spark, sf_dir):
     return sweep.passes_by_flags(sweep.rescoring_cases(cases(spark, sf_dir), [AlignConfig(free=f) for f in _ALL_FLAGS]))
 
 
-@query(f"SELECT flags, count(*) AS passed, count(*) AS total FROM (SELECT unnest(['000000', '011000', '111111', '000110']) AS flags) CROSS JOIN (SELECT 1 FROM region a, region b, region c) GROUP BY flags")
+_THREE_FLAGS = [flags_of(x) for x in ("000000", "011000", "111111", "000110")]
+
+
+def _rescoring3_sql(config: AlignConfig) -> str:
+    found = sql.aligned3(TRIPLES_SQL, config, True)
+    again = f"SELECT k1, k2, k3, sum(scaled_penalty) AS score FROM ({sql.rows3(found, config)}) GROUP BY ALL"
+    return _passes_sql(flag_string(config.free), found, f"SELECT k1, k2, k3, coalesce(e.score, 0) AS score FROM ({TRIPLES_SQL}) LEFT JOIN ({again}) e USING (k1, k2, k3)", "k1, k2, k3")
+
+
+@query(" UNION ALL ".join(_rescoring3_sql(AlignConfig(free=f)) for f in _THREE_FLAGS))
 def dp_eq_rescore_3d(spark, sf_dir):
     t = triples(spark, sf_dir).withColumn("pair_id", F.col("k1") * 10000 + F.col("k2") * 100 + F.col("k3"))
-    flags = [tuple(x == "1" for x in s) for s in ("000000", "011000", "111111", "000110")]
-    return sweep.passes_by_flags(sweep.rescoring_cases(t, [AlignConfig(free=f) for f in flags]))
+    return sweep.passes_by_flags(sweep.rescoring_cases(t, [AlignConfig(free=f) for f in _THREE_FLAGS]))
+
+
+def _swapped_sql(pairs_sql: str) -> str:
+    return f"SELECT k1, k2, {sql.reverse_complement('seq2')} AS seq1, {sql.reverse_complement('seq1')} AS seq2 FROM ({pairs_sql})"
 
 
-@query(_EVERY_FLAG_PASSES)
+_SWAPS_SQL = " UNION ALL ".join(_passes_sql(flag_string(f), sql.aligned(_CASES_SQL, PLAIN.but(free=f)), sql.aligned(_swapped_sql(_CASES_SQL), PLAIN.but(free=f[::-1]))) for f in _ALL_FLAGS)
+
+
+@query(_SWAPS_SQL)
 def swap_symmetry(spark, sf_dir):
     return sweep.passes_by_flags(sweep.dimer_swap_cases(cases(spark, sf_dir), [PLAIN.but(free=f) for f in _ALL_FLAGS]))
 
 
-@query(f"SELECT count(*) AS passing_flags, count(*) AS all_flags FROM ({_FLAGS_SQL})")
+@query(f"SELECT count(*) FILTER (passed = total) AS passing_flags, count(*) AS all_flags FROM ({_SWAPS_SQL})")
 def swap_symmetry_summary(spark, sf_dir):
     return sweep.fully_passing(swap_symmetry(spark, sf_dir))
 
 
-@query(f"SELECT count(*) AS passed, count(*) AS total FROM ({GAPPED_SQL})")
+_TURNED_GAPPED = f"SELECT k1, k2, {sql.reverse_complement('aligned2')} AS aligned1, {sql.reverse_complement('aligned1')} AS aligned2 FROM ({GAPPED_SQL})"
+
+
+@query("SELECT passed, total FROM (" + _passes_sql("", _rescored_sql(GAPPED_SQL, EVENTS), _rescored_sql(_TURNED_GAPPED, EVENTS.but(free=EVENTS.free[::-1]))) + ")")
 def rescore_swap_symmetry(spark, sf_dir):
     g = gapped(spark, sf_dir).withColumn("pair_id", F.col("k1") * 1000 + F.col("k2"))
     return sweep.alignment_swap_cases(g, EVENTS).agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"))
@@ -508,14 +566,26 @@ def _diagrams(spark, sf_dir):
     return g.select("k1", "k2", lines.alias("diagram"))
 
 
-@query()
+_DRAWN = f"SELECT k1, k2, translate(aligned1, '-', ' ') AS a, translate(aligned2, '-', ' ') AS b FROM ({GAPPED_SQL})"
+_KEPT = "list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> ' ' OR substr(b, i, 1) <> ' ')"
+_PACKED = ", ".join(f"array_to_string(list_transform({_KEPT}, lambda i: substr({x}, i, 1)), '') AS {x}" for x in "ab")
+_STRANDS = f"SELECT k1, k2, {_TOP} AS a, {_BOTTOM} AS b FROM (SELECT k1, k2, {_PACKED} FROM ({_DRAWN}))"
+
+
+@query(f"SELECT k1, k2, {_wrapped_sql(['a', 'm', 'b'], render.LINE_WIDTH)} AS block FROM (SELECT *, {_match_sql('a', 'b', sql.complement('b'))} AS m FROM ({_STRANDS}))")
 def parse_primer3(spark, sf_dir):
     return _diagrams(spark, sf_dir).select("k1", "k2", diagrams.parse_primer3("diagram").alias("block"))
 
 
-@query(f"SELECT k1, k2, true AS internal_gap FROM ({GAPPED_SQL})")
+_GAP_INSIDE = " OR ".join(f"regexp_matches({x}, '[A-Za-z].*-.*[A-Za-z]')" for x in "ab")
+
+
+@query(f"SELECT k1, k2, 'gapped' AS kind, {_GAP_INSIDE} AS internal_gap FROM ({_STRANDS}) UNION ALL SELECT k1, k2, 'plain' AS kind, {_GAP_INSIDE} AS internal_gap FROM (SELECT k1, k2, seq1 AS a, seq2 AS b FROM ({PAIRS_SQL}))")
 def has_internal_gap(spark, sf_dir):
-    return _diagrams(spark, sf_dir).select("k1", "k2", diagrams.has_internal_gap("diagram").alias("internal_gap"))
+    """Of gapped diagrams, and of plain ones."""
+    plain = pairs(spark, sf_dir).select("k1", "k2", F.lit("plain").alias("kind"), F.concat(F.lit("SEQ "), "seq1", F.lit("\nSTR "), "seq2").alias("diagram"))
+    both = _diagrams(spark, sf_dir).withColumn("kind", F.lit("gapped")).unionByName(plain)
+    return both.select("k1", "k2", "kind", diagrams.has_internal_gap("diagram").alias("internal_gap"))
 
 
 @query("SELECT s_suppkey AS k, s_acctbal AS ds, round(s_acctbal / 7, 2) AS dh, (0 - s_suppkey)::DOUBLE AS dg, 37.5::DOUBLE AS t, 'SEQ ' || s_name AS ascii_structure FROM supplier")

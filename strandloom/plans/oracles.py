@@ -90,9 +90,10 @@ SELECT k1, k2, seq1, seq2, greatest(e0, e1, e2) AS score{extra}
 FROM (SELECT *, {ends} FROM dp WHERE d = n + m AND i = n)"""
 
 
-def aligned3(triples: str, config: AlignConfig) -> str:
-    """triples: SQL with columns k1, k2, k3, seq1, seq2, seq3 → these and score. A step is a plane i + j + k = d, a row a cell
-    (i, j) of it; h, g and f are the seven scores of the last three planes."""
+def aligned3(triples: str, config: AlignConfig, strings: bool = False) -> str:
+    """triples: SQL with columns k1, k2, k3, seq1, seq2, seq3 → these and score[, aligned1, aligned2, aligned3]. A step is a plane
+    i + j + k = d, a row a cell (i, j) of it; h, g and f are the seven scores of the last three planes, and with strings
+    th, tg and tf the columns so far, three characters each. Of equal candidates the first kind wins."""
     first, close = config.costs
     place, size = ("i", "j", "kk"), ("n", "m", "l")
 
@@ -109,30 +110,70 @@ def aligned3(triples: str, config: AlignConfig) -> str:
 
     source = {0: "fij", 1: "gj", 2: "gi", 3: "h", 4: "gij", 5: "hj", 6: "hi"}
     subs = {(0, 1): "s12", (0, 2): "s13", (1, 2): "s23"}
-    kinds = []
+    letter = lambda s: f"substr(seq{s + 1}, {place[s]}, 1)"
+    candidates, kinds, texts = [], [], []
     for kind in range(7):
         used = [s for s in range(3) if not kind >> s & 1]
         valid = " AND ".join(["kk BETWEEN 0 AND l", *(f"{place[s]} > 0" for s in used)])
         sub = " + ".join(v for k, v in subs.items() if k[0] in used and k[1] in used) or "0.0"
-        best = ", ".join(f"{source[kind]}[{prev + 1}] + {sub} + ({penalty(kind, prev)})" for prev in range(7))
-        kinds.append(f"CASE WHEN {valid} AND {source[kind]} IS NOT NULL THEN greatest({best}) ELSE {LOW} END")
-    letter = lambda s: f"substr(seq{s + 1}, {place[s]}, 1)"
+        found = ", ".join(f"{source[kind]}[{prev + 1}] + {sub} + ({penalty(kind, prev)})" for prev in range(7))
+        candidates.append(f"CASE WHEN {valid} AND {source[kind]} IS NOT NULL THEN [{found}] END AS c{kind}")
+        kinds.append(f"coalesce(list_max(c{kind}), {LOW})")
+        chars = " || ".join("'-'" if kind >> s & 1 else letter(s) for s in range(3))
+        texts.append(f"CASE WHEN c{kind} IS NULL THEN '' ELSE t{source[kind]}[list_position(c{kind}, list_max(c{kind}))] || {chars} END")
     scores = ", ".join(f"{substitution(config, letter(x), letter(y))} AS {name}" for (x, y), name in subs.items())
     ends = ", ".join(f"h[{k + 1}] + " + (" + ".join(str(close) for s in range(3) if k >> s & 1 and not config.free[2 * s + 1]) or "0.0") for k in range(7))
-    none = "[" + ", ".join([LOW] * 7) + "]::DOUBLE[]"
+    none, blank = "[" + ", ".join([LOW] * 7) + "]::DOUBLE[]", "[" + ", ".join(["''"] * 7) + "]::VARCHAR[]"
+    planes = [("h", "hj", "wj"), ("g", "gj", "wj"), ("h", "hi", "wi"), ("g", "gi", "wi"), ("g", "gij", "wd"), ("f", "fij", "wd")]
+    lags = ", ".join(f"lag({x}) OVER {w} AS {y}" for x, y, w in planes)
+    start, now = "", ""
+    if strings:
+        lags += ", " + ", ".join(f"lag(t{x}) OVER {w} AS t{y}" for x, y, w in planes)
+        start = f", {blank} AS th, {blank} AS tg, {blank} AS tf"
+        now = f", [{', '.join(texts)}] AS th, th AS tg, tg AS tf"
+    row = lambda s: f"array_to_string(list_transform(range(0, length(t) // 3), lambda c: substr(t, c * 3 + {s}, 1)), '') AS aligned{s}"
+    out = f"SELECT k1, k2, k3, seq1, seq2, seq3, list_max(e) AS score{', ' + ', '.join(map(row, (1, 2, 3))) if strings else ''} FROM (SELECT *{', th[list_position(e, list_max(e))] AS t' if strings else ''} FROM (SELECT *, [{ends}] AS e FROM dp WHERE d = n + m + l AND i = n AND j = m))"
     return f"""
 WITH RECURSIVE sized AS (SELECT *, length(seq1)::INT AS n, length(seq2)::INT AS m, length(seq3)::INT AS l FROM ({triples})),
 dp AS (
-  SELECT k1, k2, k3, seq1, seq2, seq3, n, m, l, i, j, 0 AS d, CASE WHEN i = 0 AND j = 0 THEN [0.0, {", ".join([LOW] * 6)}]::DOUBLE[] ELSE {none} END AS h, {none} AS g, {none} AS f
+  SELECT k1, k2, k3, seq1, seq2, seq3, n, m, l, i, j, 0 AS d, CASE WHEN i = 0 AND j = 0 THEN [0.0, {", ".join([LOW] * 6)}]::DOUBLE[] ELSE {none} END AS h, {none} AS g, {none} AS f{start}
   FROM (SELECT *, unnest(range(0, m + 1))::INT AS j FROM (SELECT *, unnest(range(0, n + 1))::INT AS i FROM sized))
   UNION ALL
-  SELECT k1, k2, k3, seq1, seq2, seq3, n, m, l, i, j, d, [{", ".join(kinds)}] AS h, h AS g, g AS f
-  FROM (SELECT *, {scores} FROM (
-    SELECT * EXCLUDE (d), d + 1 AS d, d + 1 - i - j AS kk, lag(h) OVER wj AS hj, lag(g) OVER wj AS gj, lag(h) OVER wi AS hi, lag(g) OVER wi AS gi, lag(g) OVER wd AS gij, lag(f) OVER wd AS fij
+  SELECT k1, k2, k3, seq1, seq2, seq3, n, m, l, i, j, d, [{", ".join(kinds)}] AS h, h AS g, g AS f{now}
+  FROM (SELECT *, {", ".join(candidates)} FROM (SELECT *, {scores} FROM (
+    SELECT * EXCLUDE (d), d + 1 AS d, d + 1 - i - j AS kk, {lags}
     FROM dp WHERE d < n + m + l
-    WINDOW wj AS (PARTITION BY k1, k2, k3, i ORDER BY j), wi AS (PARTITION BY k1, k2, k3, j ORDER BY i), wd AS (PARTITION BY k1, k2, k3, i - j ORDER BY i)))
+    WINDOW wj AS (PARTITION BY k1, k2, k3, i ORDER BY j), wi AS (PARTITION BY k1, k2, k3, j ORDER BY i), wd AS (PARTITION BY k1, k2, k3, i - j ORDER BY i))))
 )
-SELECT k1, k2, k3, seq1, seq2, seq3, greatest({ends}) AS score FROM dp WHERE d = n + m + l AND i = n AND j = m"""
+{out}"""
+
+
+def rows3(alignments: str, config: AlignConfig, keys: tuple[str, ...] = ("k1", "k2", "k3")) -> str:
+    """alignments: SQL with the keys and aligned1, aligned2, aligned3 → one row for each score event, columns as the engine names them."""
+    first, close = config.costs
+    text, every = "NULL::VARCHAR", ", ".join(keys)
+
+    def event(order: int, name: str, where: str, raw: str, at: str, shown: tuple[int, ...] = ()) -> str:
+        chars = ", ".join(f"{f'c{s}' if s in shown else text} AS seq{s}_char" for s in (1, 2, 3))
+        return f"SELECT {every}, {order} AS o, {name} AS event, k - 1 AS col_idx, {', '.join(f'{at}{s} AS seq{s}_pos' for s in (1, 2, 3))}, mask, prev AS prev_mask, ({raw})::DOUBLE AS raw_penalty, {chars} FROM c WHERE {where}"
+
+    parts = []
+    for o, (x, y) in enumerate(((1, 2), (1, 3), (2, 3))):
+        parts.append(event(o, f"CASE WHEN c{x} = c{y} THEN 'substitution_match' ELSE 'substitution_mismatch' END", f"c{x} <> '-' AND c{y} <> '-'", substitution(config, f"c{x}", f"c{y}"), "p", (x, y)))
+    for s in (1, 2, 3):
+        left, right = map(sql_bool, config.free[2 * s - 2 : 2 * s])
+        parts.append(event(2 + 2 * s, f"CASE WHEN b{s} = '-' THEN 'gap_extend_seq{s}' ELSE 'gap_open_seq{s}' END", f"c{s} = '-' AND NOT ((p{s} = 0 AND {left}) OR (p{s} = n{s} AND {right}))", f"CASE WHEN b{s} = '-' THEN {config.gap_extend} ELSE {first} END", "p"))
+        if close:
+            parts.append(event(3 + 2 * s, f"'gap_close_seq{s}'", f"c{s} <> '-' AND b{s} = '-' AND NOT ({left} AND p{s} = 0)", str(close), "p"))
+            parts.append(event(20 + s, f"'gap_close_seq{s}'", f"k = size AND c{s} = '-' AND NOT {right}", str(close), "n"))
+    chars = ", ".join(f"substr(aligned{s}, k, 1) AS c{s}, CASE WHEN k > 1 THEN substr(aligned{s}, k - 1, 1) ELSE '' END AS b{s}, length(replace(substr(aligned{s}, 1, k - 1), '-', ''))::INT AS p{s}, length(replace(aligned{s}, '-', ''))::INT AS n{s}" for s in (1, 2, 3))
+    bits = lambda x: " + ".join(f"CASE WHEN {x}{s} = '-' THEN {1 << s - 1} ELSE 0 END" for s in (1, 2, 3))
+    joined = " UNION ALL ".join(parts)
+    return f"""
+WITH x AS (SELECT {every}, k, length(aligned1)::INT AS size, {chars} FROM (SELECT *, unnest(range(1, length(aligned1) + 1))::INT AS k FROM ({alignments}))),
+c AS (SELECT *, ({bits('c')})::INT AS mask, ({bits('b')})::INT AS prev FROM x)
+SELECT {every}, (row_number() OVER (PARTITION BY {every} ORDER BY col_idx, o) - 1)::INT AS event_no, event, col_idx, seq1_pos, seq2_pos, seq3_pos, mask, prev_mask,
+  raw_penalty, 1.0::DOUBLE AS factor, raw_penalty AS scaled_penalty, seq1_char, seq2_char, seq3_char FROM ({joined})"""
 
 
 def events3(alignments: str, config: AlignConfig) -> str:

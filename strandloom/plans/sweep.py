@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import COMP_SYMMETRIC, INVERSE_DISTANCE, NON_COMP_SYMMETRIC, AlignConfig, ScoreMatrix, flag_string
 from ..functions.dna import SYMMETRIES_2D, SYMMETRIES_3D, complement, dimer_swapped, expected_invariance, restored, transformed
-from ..operators.align import align_by, nw3_align, nw_align, nw_score
+from ..operators.align import align_by
 from ..operators.rescore import score_alignment, score_alignment_3d
 
 TOLERANCE = 1e-9
@@ -131,32 +131,53 @@ def printed_failures(cases: DataFrame, ok: str, keys: Sequence[str], most: int =
     return cases.filter(~F.col(ok)).withColumn("failure_no", F.row_number().over(order)).filter(F.col("failure_no") <= most)
 
 
+def _by_costs(configs: Sequence[AlignConfig]) -> list[list[AlignConfig]]:
+    """Configurations that differ in nothing but their free ends, together."""
+    groups: dict[tuple, list[AlignConfig]] = {}
+    for c in configs:
+        groups.setdefault((id(c.matrix), c.gap_open, c.gap_extend, c.gap_close, id(c.scaler), len(c.free)), []).append(c)
+    return list(groups.values())
+
+
+def _spread(cases: DataFrame, configs: Sequence[AlignConfig]) -> DataFrame:
+    """Every case with every configuration's number (no) and flags (flags, and free0.. one by one): a small table that goes to the cases."""
+    ends = [f"free{k}" for k in range(len(configs[0].free))]
+    rows = [(k, flag_string(c.free), *c.free) for k, c in enumerate(configs)]
+    spark = cases.sparkSession
+    table = spark.createDataFrame(rows, "no int, flags string, " + ", ".join(f"{e} boolean" for e in ends))
+    return cases.repartition(spark.sparkContext.defaultParallelism, "pair_id").crossJoin(F.broadcast(table))
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def rescoring_cases(cases: DataFrame, configs: Sequence[AlignConfig]) -> DataFrame:
-    """The optimum against the rescored alignment, for each configuration: flags, pair_id, score, rescored, ok."""
+    """The optimum against the rescored alignment, for each configuration: flags, pair_id, score, rescored, ok. One pass for
+    all configurations that differ in their free ends alone."""
     parts = []
-    for config in configs:
-        three = len(config.free) == 6
+    for own in _by_costs(configs):
+        three = len(own[0].free) == 6
         names = [f"seq{k + 1}" for k in range(3 if three else 2)]
-        found = cases.select("pair_id", (nw3_align if three else nw_align)(*names, config).alias("r"))
+        found = _spread(cases, own).withColumn("r", align_by(own, "no", *names))
         strings = [F.col("r")[f"aligned{k + 1}"] for k in range(len(names))]
-        again = (score_alignment_3d if three else score_alignment)(*strings, config)
-        parts.append(found.select(F.lit(flag_string(config.free)).alias("flags"), "pair_id", F.col("r")["score"].alias("score"), again.alias("rescored")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("ok", close_to(F.col("score"), F.col("rescored")))
+        again = (score_alignment_3d if three else score_alignment)(*strings, own[0], [F.col(f"free{k}") for k in range(len(own[0].free))])
+        parts.append(found.select("flags", "pair_id", F.col("r")["score"].alias("score"), again.alias("rescored")))
+    return _together(parts).withColumn("ok", close_to(F.col("score"), F.col("rescored")))
 
 
 def dimer_swap_cases(cases: DataFrame, configs: Sequence[AlignConfig]) -> DataFrame:
     """score(p1, rc p2) against score(p2, rc p1) with flags read backwards; seq2 is the second sequence as aligned."""
+    one, two, _ = dimer_swapped("seq1", "seq2", configs[0])
     parts = []
-    for config in configs:
-        one, two, changed = dimer_swapped("seq1", "seq2", config)
-        parts.append(cases.select(F.lit(flag_string(config.free)).alias("flags"), "pair_id", nw_score("seq1", "seq2", config).alias("score"), nw_score(one, two, changed).alias("swapped")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("ok", close_to(F.col("score"), F.col("swapped")))
+    for own in _by_costs(configs):
+        changed = [dimer_swapped("seq1", "seq2", c)[2] for c in own]
+        found = _spread(cases, own).withColumn("first", align_by(own, "no", "seq1", "seq2")).withColumn("second", align_by(changed, "no", one, two))
+        parts.append(found.select("flags", "pair_id", F.col("first")["score"].alias("score"), F.col("second")["score"].alias("swapped")))
+    return _together(parts).withColumn("ok", close_to(F.col("score"), F.col("swapped")))
 
 
 def alignment_swap_cases(aligned: DataFrame, config: AlignConfig) -> DataFrame:

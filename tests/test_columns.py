@@ -1,4 +1,8 @@
+import math
+import random
+
 import pytest
+import slow
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -193,5 +197,48 @@ def test_screens(spark):
     assert {(r.k1, r.k2) for r in screen.pairs_reaching(pairs, plain, 8).collect()} == {k for k, v in many.items() if v >= 8}
     with pytest.raises(ValueError):
         screen.score_bound("a", "b", AlignConfig(free=DIMER_FREE))
-    small = screen.key_pairs(p, p, broadcast_rows=1)
+    small = screen.key_pairs(p, p, broadcast_bytes=1)
     assert small.count() == 16
+
+
+@pytest.mark.parametrize("free", [(False,) * 4, (True, False, False, True), (False, True, True, False)])
+def test_rescoring_takes_any_callable(spark, free):
+    def weight(left1, right1, left2, right2, **ends):
+        return 0.5 + (left1 * 3 + right1 * 5 + left2 * 7 + right2 * 11) % 13 / 10 + ends["seq1_left_free"] - 0.25 * ends["seq2_right_free"]
+
+    config = AlignConfig(free=free, scaler=weight)
+    rng = random.Random(4)
+    pairs = [tuple("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 9))) for _ in range(2)) for _ in range(25)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(align.nw_align("a", "b", config).alias("r"))
+    events = rescore.score_events("r.aligned1", "r.aligned2", config)
+    rows = df.select("r.score", rescore.score_alignment("r.aligned1", "r.aligned2", config).alias("again"), rescore.total(events).alias("explained")).collect()
+    for r in rows:
+        assert r.again == pytest.approx(r.score) and r.explained == pytest.approx(r.score)
+
+
+def test_long_alignments_are_scored_in_pieces(spark):
+    """Gaps and letters on both sides of piece borders, against plain scoring of the path."""
+    rng = random.Random(9)
+    rows = []
+    for size in (63, 64, 65, 128, 129, 1000):
+        kinds = [rng.choice([0, 0, 0, 1, 1, 2]) for _ in range(size)]
+        kinds[60:68] = [1] * len(kinds[60:68])
+        a = "".join("-" if k == 1 else rng.choice("ACGT") for k in kinds)
+        b = "".join("-" if k == 2 else rng.choice("ACGT") for k in kinds)
+        rows.append((a, b, kinds))
+    config = AlignConfig(free=(False, True, True, False))
+    df = spark.createDataFrame([r[:2] for r in rows], "a string, b string")
+    got = {r.a: (r.s, r.t) for r in df.select("a", rescore.score_alignment("a", "b", config).alias("s"), rescore.total(rescore.score_events("a", "b", config)).alias("t")).collect()}
+    for a, b, kinds in rows:
+        want = slow.path_score(config, a.replace("-", ""), b.replace("-", ""), kinds)
+        assert got[a] == (pytest.approx(want), pytest.approx(want))
+
+
+def test_free_energies_far_apart(spark):
+    """Terms from -1e5 to 1e5: nothing overflows, the smallest energy decides."""
+    rows = [("a", -1e5), ("a", 1e5), ("a", 0.0), ("b", 5.0), ("b", 5.0), (None, -3.0), ("c", 1e300)]
+    got = {r.k: r.delta_g for r in thermo.delta_g_by_group(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    rt = thermo.GAS_CONSTANT * (37 + thermo.ZERO_CELSIUS)
+    assert got == {"a": pytest.approx(-1e5), "b": pytest.approx(5 - rt * math.log(2)), None: pytest.approx(-3.0), "c": pytest.approx(1e300)}
+    plan = thermo.delta_g_by_group(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")._jdf.queryExecution().toString()
+    assert "Join" not in plan
