@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import threading
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,12 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go once the driver has collected what refers to them: now, instead of whenever it needs memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables and archives of this process. What operators returned and has not been written yet is lost."""
     for path in list(_MADE):
