@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, give_back, materialise, small_batches, words_of
@@ -214,24 +214,32 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SENT_ROWS else table
 
 
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def between_roots(rare: DataFrame, percent: int) -> DataFrame:
     """a, b: classes of different components that share a rare item and can still be similar.
 
-    An item's components are paired first, then the classes of those; a component's own classes never meet, however many."""
-    of_item = rare.select("item", "root").distinct()
+    An item's components are paired first, by what the sizes and places of their classes allow, then the classes of those;
+    a component's own classes never meet, however many."""
+    rest = F.col("n") - F.col("pos")  # what follows the item, and the item
+    of_item = rare.groupBy("item", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"))
     several = of_item.groupBy("item").agg(F.count("*").alias("k")).filter("k > 1").select("item")
     of_item, rare = of_item.join(several, "item"), rare.join(several, "item")
-    pairs = of_item.withColumnRenamed("root", "root_1").join(of_item.withColumnRenamed("root", "root_2"), "item").filter("root_1 < root_2")
-    one, two = (rare.select("item", *[F.col(c).alias(c + k) for c in ("cid", "n", "pos", "root")]) for k in ("_1", "_2"))
-    both = pairs.join(one, ["item", "root_1"]).join(two, ["item", "root_2"])
-    near = 100 * F.least("n_1", "n_2") >= percent * F.greatest("n_1", "n_2")  # sets of other sizes can't be similar
-    # At the first item that two sets share, what follows in either must still make up the intersection that they need.
-    enough = (100 + percent) * F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2")) >= percent * (F.col("n_1") + F.col("n_2"))
-    return _ordered(both.filter(near & enough), "cid_1", "cid_2")
-
-
-def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    left, right = (of_item.select("item", *[F.col(c).alias(c + k) for c in ("root", "least", "most", "rest")]) for k in ("_1", "_2"))
+
+    def possible(least_1: str, most_1: str, rest_1: str, least_2: str, most_2: str, rest_2: str) -> Column:
+        """Sets of other sizes can't be similar; at the first item that two sets share, what follows in either must make up the
+        intersection that they need."""
+        near = (100 * F.col(most_1) >= percent * F.col(least_2)) & (100 * F.col(most_2) >= percent * F.col(least_1))
+        return near & ((100 + percent) * F.least(rest_1, rest_2) >= percent * (F.col(least_1) + F.col(least_2)))
+
+    pairs = left.join(right.withColumnRenamed("item", "item_2"), (F.col("item") == F.col("item_2")) & (F.col("root_1") < F.col("root_2")) & possible("least_1", "most_1", "rest_1", "least_2", "most_2", "rest_2")).drop("item_2", "least_1", "most_1", "rest_1")
+    one, two = (rare.select(F.col("item").alias("at" + k), F.col("root").alias("of" + k), F.col("cid").alias("cid" + k), F.col("n").alias("n" + k), rest.alias("left" + k)) for k in ("_1", "_2"))
+    first = pairs.join(one, (F.col("item") == F.col("at_1")) & (F.col("root_1") == F.col("of_1")) & possible("n_1", "n_1", "left_1", "least_2", "most_2", "rest_2"))
+    both = first.join(two, (F.col("item") == F.col("at_2")) & (F.col("root_2") == F.col("of_2")) & possible("n_1", "n_1", "left_1", "n_2", "n_2", "left_2"))
+    return _ordered(both, "cid_1", "cid_2")
 
 
 def _grouped(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, percent: int = 80, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
