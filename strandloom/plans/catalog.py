@@ -234,6 +234,30 @@ def nw3_score(spark, sf_dir):
     return triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_score("seq1", "seq2", "seq3", THREE).alias("score"))
 
 
+def long_triples(spark, sf_dir):
+    """A triple of whole primers for every supplier: its own, that of a nation, and the two joined as a dimer would."""
+    s, n = forward(spark, sf_dir), reverse(spark, sf_dir)
+    other = n.select(F.col("k").alias("k2"), F.col("seq").alias("seq2"))
+    both = s.select(F.col("k").alias("k1"), F.col("seq").alias("seq1")).join(F.broadcast(other), F.col("k1") % 25 == F.col("k2"))  # nations are 25
+    third = F.concat(F.substring("seq1", 9, 8), F.substring("seq2", 1, 10))
+    return both.select("k1", "k2", F.lit(0).cast("long").alias("k3"), "seq1", "seq2", third.alias("seq3")).repartition(spark.sparkContext.defaultParallelism, "k1")
+
+
+_LONG_SQL = f"SELECT a.k AS k1, b.k AS k2, 0::BIGINT AS k3, a.seq AS seq1, b.seq AS seq2, substr(a.seq, 9, 8) || substr(b.seq, 1, 10) AS seq3 FROM ({FWD_SQL}) a JOIN ({REV_SQL}) b ON a.k % 25 = b.k"
+
+
+@query(f"SELECT k1, k2, k3, score FROM ({sql.aligned3(_LONG_SQL, THREE)})")
+def nw3_score_primers(spark, sf_dir):
+    return long_triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_score("seq1", "seq2", "seq3", THREE).alias("score"))
+
+
+@query()
+def nw3_align_primers(spark, sf_dir):
+    """Without SQL: strings of this length take the engine minutes; scores have it (above), strings of short ones too."""
+    found = long_triples(spark, sf_dir).select("k1", "k2", "k3", align.nw3_align("seq1", "seq2", "seq3", THREE).alias("r"))
+    return found.select("k1", "k2", "k3", "r.*")
+
+
 THREE_ASYMMETRIC = AlignConfig(NON_COMP_SYMMETRIC, -4.75, -0.9, False, (True, False, False, True, True, True), None)
 
 
@@ -471,7 +495,14 @@ def matrix_symmetry(spark, sf_dir):
     return sweep.matrix_predicates(spark.createDataFrame(rows, "matrix string, x string, y string, s double"))
 
 
-@query()
+def _random_sql(k: int, shortest: int, longest: int, seed: int) -> str:
+    named = lambda what: f"md5('{seed}:{k}:' || pair_id || ':{what}')"
+    letters = " || ".join(named(b) for b in range(longest // 32 + 1))
+    size = f"('0x' || substr({named('size')}, 1, 8))::BIGINT % {longest - shortest + 1} + {shortest}"
+    return f"substr(translate({letters}, '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, ({size})::INT) AS seq{k + 1}"
+
+
+@query(f"SELECT pair_id, {_random_sql(0, 8, 40, 3)}, {_random_sql(1, 8, 40, 3)} FROM (SELECT unnest(range(count(*))) AS pair_id FROM customer)")
 def random_sequences(spark, sf_dir):
     """A reproducible random pair for every customer."""
     n = table(spark, sf_dir, "customer").count()

@@ -28,15 +28,16 @@ def table_primers(spark: SparkSession, sf_dir: str, table: str, key: str, tag: s
 
 
 def random_dna(spark: SparkSession, rows: int, shortest: int, longest: int, seed: int = 0, columns: Sequence[str] = ("seq1", "seq2")) -> DataFrame:
-    """(pair_id, columns): uniform sequences, lengths uniform in [shortest, longest], from hashes of seed, row and column.
+    """(pair_id, columns): uniform sequences, lengths uniform in [shortest, longest], from md5 of seed, column and row.
 
     A partition's rows depend on nothing but their numbers, so any number of tasks gives the same table."""
     if not 0 <= shortest <= longest:
         raise ValueError("0 <= shortest <= longest is needed")
 
     def sequence(k: int) -> Column:
-        size = F.pmod(F.xxhash64("pair_id", F.lit(seed), F.lit(k), F.lit("size")), F.lit(longest - shortest + 1)) + shortest
-        blocks = F.transform(F.sequence(F.lit(0), F.lit(longest // 32)), lambda b: F.md5(F.concat_ws(":", F.lit(seed), F.lit(k), "pair_id", b)))
+        named = lambda what: F.md5(F.concat_ws(":", F.lit(seed), F.lit(k), "pair_id", what))
+        size = F.conv(F.substring(named(F.lit("size")), 1, 8), 16, 10).cast("long") % (longest - shortest + 1) + shortest
+        blocks = F.transform(F.sequence(F.lit(0), F.lit(longest // 32)), named)
         return F.substring(F.translate(F.array_join(blocks, ""), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(1), size.cast("int"))
 
     return spark.range(rows).withColumnRenamed("id", "pair_id").select("pair_id", *[sequence(k).alias(c) for k, c in enumerate(columns)])
