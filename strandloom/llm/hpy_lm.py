@@ -321,6 +321,11 @@ def _risen(packed: bytes) -> np.ndarray:
     return np.cumsum(_values(packed, "<u8").astype(np.int64))
 
 
+def _shares(values: np.ndarray) -> bytes:
+    """Probabilities with 16 bits of mantissa: a token's score is off by less than 1e-5."""
+    return _pack((values.astype("<f4").view("<u4") + np.uint32(0x80)) & np.uint32(0xFFFFFF00), "<u4")
+
+
 def _words(packed: bytes, lengths: np.ndarray) -> list[bytes]:
     blob, ends = _zstd()[1].decompress(packed), np.cumsum(lengths)
     return [blob[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
@@ -711,7 +716,7 @@ def seated(restaurants: DataFrame, root: DataFrame, plan: Plan, parameters: Root
             at = np.cumsum(part)
             contexts = own.context[at]
             begins = np.flatnonzero(np.concatenate([[True], np.diff(contexts) != 0]))
-            out.append((0, chunk, own.bucket, -1, _pack(share[at], "<f4"), _pack(weight[contexts[begins]], "<f4"), _pack(np.diff(np.append(begins, len(at))), "<u4"), None, None, *none))
+            out.append((0, chunk, own.bucket, -1, _shares(share[at]), _shares(weight[contexts[begins]]), _pack(np.diff(np.append(begins, len(at))), "<u4"), None, None, *none))
         return pa.Table.from_batches([_table(schema, out)])
 
     replies = root.filter("kind = 1").select(F.col("bucket").alias("own"), "word_bucket", "k")
@@ -752,6 +757,7 @@ def score_documents(docs: DataFrame, held_out, *, text: str = "text", doc_id: st
     word_buckets = max(4, -(-(sizes["bytes"] or 0) // WORD_BYTES))
     chunks = materialise(chunked(marked), "chunks")
     vocabulary = materialise(vocabulary_of(words_asked(chunks, word_buckets)), "vocabulary")
+    forget_shuffles(spark)
     plan, tokens, words = plan_of(vocabulary, sizes["texts"])
     restaurants = materialise(restaurants_of(pairs_asked(chunks, plan)), "restaurants")
     forget_shuffles(spark)
