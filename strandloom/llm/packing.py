@@ -17,15 +17,17 @@ empty table gives an empty result; other columns take no part.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from .common import give_back, materialise, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MEMO_BYTES = 48 << 20  # of words in a worker's memo, as WORD_BYTES each and their letters and ids
+MEMO_BYTES = 48 << 20  # of words in a worker's memo, as WORD_BYTES each and their letters and ids; half of it for older ones
 WORD_BYTES = 170  # what an entry, its key and its value take beside them
 LONGEST_MEMO_WORD = 64
 TOGETHER = 512
@@ -45,12 +47,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Lower-casing a text without such characters beforehand is what the tokenizer does itself; a text with some is left to it.
+#: Lower-casing a word without such characters beforehand is what the tokenizer does itself; one with some is left to it.
 BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
+#: Letters that neither NFC nor lower-casing changes.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c)
+PLAIN = re.compile(f"[{LETTERS}]+")
+#: After a letter, some of these at a word's end are a token's text of their own. An apostrophe may begin a contraction.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: What a tokenizer does before its merges, for PLAIN and MARKS to be right.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": SPLIT, "behavior": "Removed", "invert": True}, BYTES]}
 
 
 class WordMemo:
-    """Words → their ids as little-endian 32-bit bytes. The tokenizer drops white space and never merges across it."""
+    """Words → their ids as little-endian 32-bit bytes. The tokenizer drops white space and never merges across it.
+
+    When half of MEMO_BYTES is full, its words become the older ones, and the older ones that no text has had since go.
+    Where the tokenizer is of the kind that PLAIN and MARKS describe, a word is held without the marks at its end, and words
+    of letters go right to the merges: a token that ends a word says so by its suffix."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -58,8 +74,41 @@ class WordMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.size = 0
-        self.ends = dict(zip(".,", self.encode([".", ","]), strict=True))
+        self.marks = ""
+        self.merges = self.merging(Tokenizer)
+
+    def merging(self, kind: type):
+        """The tokenizer's merges alone, over the same model; None for tokenizers of other kinds."""
+        from tokenizers import pre_tokenizers
+
+        model, steps = self.tokenizer.model, (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        suffix = getattr(model, "end_of_word_suffix", None)
+        if not suffix or None in steps or [json.loads(x.__getstate__()) for x in steps] != [NORMALIZER, PRE_TOKENIZER]:
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        alphabet = pre_tokenizers.ByteLevel.alphabet()
+        if self.tokenizer.truncation or self.tokenizer.padding or not all({c, c + suffix} <= vocabulary.keys() for c in alphabet):
+            return None
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        special = "".join(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = "".join(c for c in MARKS if c not in special)
+        out = kind(model)
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of PLAIN words: many to a text, told apart by the tokens that end a word."""
+        out: list[bytes] = []
+        groups = [" ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        for found in self.merges.encode_batch_fast(groups, add_special_tokens=False):
+            numbers = np.asarray(found.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[numbers]) + 4).tolist()
+            ids = numbers.tobytes()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of words without spaces: many to a text, told apart by the tokens' places in it."""
@@ -73,29 +122,66 @@ class WordMemo:
             out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def learn(self, unseen: set[str]) -> None:
-        """A full stop or comma after a letter at a word's end is a token of its own, so such words follow from their stems."""
-        ended = [w for w in unseen if w[-1:] in self.ends and w[-2:-1].isalpha()]
-        whole = unseen.difference(ended)
-        whole.update(w[:-1] for w in ended)
-        todo = list(whole.difference(self.words))
-        self.words.update(zip(todo, self.encode(todo), strict=True))
-        for w in ended:
-            self.words[w] = self.words[w[:-1]] + self.ends[w[-1]]
-        self.size += sum(WORD_BYTES + len(w) + len(self.words[w]) for w in (*todo, *ended))
+    def hold(self, words: Sequence[str], ids: Sequence[bytes]) -> None:
+        self.words.update(zip(words, ids, strict=True))
+        self.size += WORD_BYTES * len(words) + sum(map(len, words)) + sum(map(len, ids))
 
-    def documents(self, texts: list[str]) -> list[bytes]:
-        split = [(text if BEYOND_LATIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts]
-        if self.size >= MEMO_BYTES:
-            self.words, self.size = {}, 0
-        unseen = set().union(*split).difference(self.words)
+    def learn(self, unseen: set[str]) -> None:
+        again = list(unseen.intersection(self.older))
+        self.hold(again, [self.older[w] for w in again])
+        new = unseen.difference(again)
+        plain = [w for w in new if PLAIN.fullmatch(w)] if self.merges is not None else []
+        others = list(new.difference(plain))
+        self.hold(plain, self.merged(plain) if plain else [])
+        self.hold(others, self.encode(others))
+
+    @staticmethod
+    def lowered(words: pa.Array) -> list[str]:
+        """Words without line ends, lower-cased unless that is left to the tokenizer."""
+        every = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py()
+        if BEYOND_LATIN.search(every):
+            return [w if BEYOND_LATIN.search(w) else w.lower() for w in every.split("\n")]
+        return every.lower().split("\n")
+
+    def ids_of(self, words: pa.Array) -> list[bytes]:
+        """Ids of different words without spaces and line ends."""
+        ended = pc.ascii_rtrim(words, self.marks)
+        stems, tails = self.lowered(ended), {}
+        cut = np.flatnonzero(pc.not_equal(pc.binary_length(words), pc.binary_length(ended)))
+        for k, w in zip(cut.tolist(), self.lowered(words.take(pa.array(cut))) if len(cut) else [], strict=True):
+            if stems[k][-1:].isalpha():
+                tails[k] = w[len(stems[k]) :]
+            else:
+                stems[k] = w
+        if self.size >= MEMO_BYTES // 2:
+            self.older, self.words, self.size = self.words, {}, 0
+        unseen = set(stems).union(tails.values()).difference(self.words)
         self.learn(unseen)
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        have = self.words
+        out = list(map(have.__getitem__, stems))
+        for k, tail in tails.items():
+            out[k] += have[tail]
         for w in unseen:
             if len(w) > LONGEST_MEMO_WORD:
-                del self.words[w]
+                self.size -= WORD_BYTES + len(w) + len(have.pop(w))
         return out
 
+    def documents(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts: their words are numbered, each different one is looked up once."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        words = split.values.dictionary_encode()
+        ids = self.ids_of(words.dictionary)
+        numbers = words.indices.to_numpy()
+        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        begins = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[numbers])])
+        every = np.frombuffer(b"".join(ids), "<u4")
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        tokens = every[np.repeat(begins[numbers] - ends[:-1], sizes[numbers]) + np.arange(ends[-1])]
+        return [tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
 
 @lru_cache(maxsize=4)
 def memo_of(path: str) -> WordMemo:

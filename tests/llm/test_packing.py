@@ -42,6 +42,38 @@ def test_any_texts_match_the_tokenizer(memo, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in memo.documents(texts)] == [plain_ids(memo, t) for t in texts]
 
 
+def test_letters_and_marks_match_the_tokenizer(memo):
+    words = [*packing.LETTERS, packing.LETTERS, *(f"word{a}{b}" for a in packing.MARKS for b in packing.MARKS), "a<|endoftext|>", "a<|endoftext|>.", "It's,", "x'.", "1.", "é!?", "x\u0338=", "=\u0338"]
+    assert memo.merges is not None and set(packing.MARKS) - set(memo.marks) == set("<|>")
+    assert [np.frombuffer(x, "<u4").tolist() for x in memo.documents([*words, " ".join(words)])] == [plain_ids(memo, w) for w in [*words, " ".join(words)]]
+
+
+def test_words_in_use_outlive_a_full_memo(monkeypatch):
+    """The memo stays within its bytes, and a word that texts have again and again is tokenised once."""
+    monkeypatch.setattr(packing, "MEMO_BYTES", 400_000)
+    memo, seen = packing.WordMemo(packing.tokenizer_path()), Counter()
+    for way in ("merged", "encode"):
+        monkeypatch.setattr(memo, way, lambda words, f=getattr(memo, way): seen.update(words) or f(words))
+    for k in range(30):
+        text = " ".join(["often", "frequent.", *(f"{a}{b}{chr(97 + k % 26)}{chr(97 + k // 26)}" for a in "abcdefghijklmno" for b in "abcdefghijklmnopqrst")])
+        assert np.frombuffer(memo.documents([text])[0], "<u4").tolist() == plain_ids(memo, text)
+        held = sum(packing.WORD_BYTES + len(w) + len(x) for have in (memo.words, memo.older) for w, x in have.items())
+        assert held <= 400_000 + 2 * 60_000
+    assert sum(seen.values()) > 8_000 and seen["often"] == seen["frequent"] == 1
+
+
+def test_other_tokenizers_get_whole_words(tmp_path):
+    import json
+
+    kind = json.load(open(packing.tokenizer_path()))
+    kind["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "\\S+"
+    (tmp_path / "other.json").write_text(json.dumps(kind))
+    memo = packing.WordMemo(str(tmp_path / "other.json"))
+    assert memo.merges is None
+    text = "Words, and more words. Here;"
+    assert np.frombuffer(memo.documents([text])[0], "<u4").tolist() == plain_ids(memo, text)
+
+
 def test_corpus_matches_the_tokenizer(spark, sf_dir, memo):
     texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = memo.documents(texts)
