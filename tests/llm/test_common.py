@@ -1,6 +1,8 @@
 import os
 
+import corpus_pipeline
 import llm_cases as cases
+import pytest
 
 from strandloom.llm import common
 
@@ -30,3 +32,20 @@ def test_buckets_of_ids(spark):
     df = cases.table(spark)
     for r in df.select("doc_id", (common.bucket_of("doc_id", 7) == 2).alias("x")).collect():
         assert r.x == cases.held(r.doc_id, 7, 2)
+
+
+def test_one_process_has_no_executors_to_ask(spark):
+    assert common.shrink_heaps(spark) == 0
+
+
+def test_every_stage_begins_with_small_heaps(monkeypatch):
+    class Begun(Exception):
+        pass
+
+    def begin(spark):
+        raise Begun
+
+    monkeypatch.setattr(corpus_pipeline, "shrink_heaps", begin)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(None, None, "")
